@@ -11,8 +11,15 @@ CELLS = ("true_positives", "false_positives", "true_negatives", "false_negatives
 RATES = ("f1", "precision", "recall", "accuracy", "specificity")
 
 
+SNAP_DIGITS = 10
+
+
 def half_even(value: Column, digits: int = 4) -> Column:
-    return F.bround(value, digits)
+    """Half to even, after noise far behind the last digit is cut off.
+
+    The midpoint of 0.1667 and 0.25 is a tie on paper and just below one in binary; snapping first makes it a tie.
+    """
+    return F.bround(F.bround(value, SNAP_DIGITS), digits)
 
 
 def share(part: Column, whole: Column) -> Column:

@@ -401,11 +401,27 @@ def _needed(body: str, found: set[str]) -> set[str]:
     return found
 
 
+def _snapped(sql: str) -> str:
+    """Each rounding done on the scaled value after six more digits, so that a tie on paper is a tie here too."""
+    call, out, place = "round_even(", "", 0
+    while (start := sql.find(call, place)) >= 0:
+        depth, comma, end = 1, -1, start + len(call)
+        while depth:
+            depth += {"(": 1, "[": 1, ")": -1, "]": -1}.get(sql[end], 0)
+            if sql[end] == "," and depth == 1:
+                comma = end
+            end += 1
+        inner, digits = _snapped(sql[start + len(call) : comma]), int(sql[comma + 1 : end - 1])
+        out += f"{sql[place:start]}({call}round(({inner}) * 1E{digits}, {10 - digits}), 0) / 1E{digits})"
+        place = end
+    return out + sql[place:]
+
+
 def statement(body: str) -> str:
     """The body under the CTEs it reaches, in the order they are defined."""
     wanted = _needed(body, set())
     chain = [f"{name} AS ({text})" for name, text in CTES.items() if name in wanted]
-    return ("WITH " + ",\n".join(chain) + "\n" if chain else "") + body.strip()
+    return _snapped(("WITH " + ",\n".join(chain) + "\n" if chain else "") + body.strip())
 
 
 IDS = f"session_id, operator_id, {OPENED}"
@@ -551,15 +567,15 @@ BODIES: dict[str, str] = {
     "d19_grid_totals": """SELECT sigma, scope, count(DISTINCT seed) AS seeds, CAST(sum(compromised) AS BIGINT) AS attacks,
         CAST(sum(1 - compromised) AS BIGINT) AS legitimate FROM o_scoped WHERE mechanism = 'rules'
         GROUP BY sigma, scope""",
-    "d20_confusion_report": "UNPIVOT (SELECT seed, "
+    "d20_confusion_report": "FROM (SELECT seed, "
     + ", ".join(
         f"CAST({name} AS DOUBLE) AS {name}"
         for name in ("true_positives", "false_positives", "true_negatives", "false_negatives")
     )
     + ", "
     + ", ".join(f"round_even({text}, 6) AS {name}" for name, text in _ALL_RATES.items())
-    + f" FROM (SELECT seed, {_confusion()} FROM o_alerts GROUP BY seed)) ON COLUMNS(* EXCLUDE seed)"
-    " INTO NAME measure VALUE value",
+    + f" FROM (SELECT seed, {_confusion()} FROM o_alerts GROUP BY seed)) UNPIVOT INCLUDE NULLS (value FOR measure IN (true_positives, false_positives, true_negatives, "
+    "false_negatives, f1, precision, recall, accuracy, specificity))",
     "d21_rules_fired": """SELECT g.seed, g.compromised, g.rules_fired, count(a.session_id) / CAST(max(g.total) AS DOUBLE)
         AS share FROM (SELECT seed, compromised, total, unnest(range(0, 9)) AS rules_fired FROM (SELECT seed, compromised,
         count(*) AS total FROM o_alerts GROUP BY seed, compromised)) g LEFT JOIN o_alerts a ON a.seed = g.seed
@@ -814,6 +830,6 @@ BODIES: dict[str, str] = {
 
 # A body that opens its own WITH becomes a subquery under the shared CTEs.
 ORACLES: dict[str, str] = {
-    name: statement(f"SELECT * FROM ({body})" if body.lstrip().startswith(("WITH", "UNPIVOT")) else body)
+    name: statement(f"SELECT * FROM ({body})" if body.lstrip().startswith(("WITH", "FROM")) else body)
     for name, body in BODIES.items()
 }

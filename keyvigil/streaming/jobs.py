@@ -86,12 +86,14 @@ def stage(requests: DataFrame, name: str, closing: bool = True) -> str:
     if not closing:
         return folder
     kinds = {field.name: field.dataType for field in requests.schema}
-    texts = {
-        column: F.lit("marker").cast(kind) if isinstance(kind, T.StringType) else F.lit(None).cast(kind)
+    # No NULLs: a filter for a later join would take the row away before the watermark sees it.
+    values = {
+        column: F.lit("marker" if isinstance(kind, T.StringType) else 0).cast(kind)
         for column, kind in kinds.items()
+        if column != "timestamp"
     }
-    texts["timestamp"] = F.lit("2999-01-01 00:00:00").cast(kinds["timestamp"])
-    marker = requests.sparkSession.range(1).select(*[value.alias(column) for column, value in texts.items()])
+    values["timestamp"] = F.lit("2999-01-01 00:00:00").cast(kinds["timestamp"])
+    marker = requests.sparkSession.range(1).select(*[values[column].alias(column) for column in kinds])
     marker.write.mode("append").parquet(folder)
     return folder
 
