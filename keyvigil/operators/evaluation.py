@@ -23,6 +23,7 @@ from keyvigil.schemas import (
     SIGNIFICANCE_LEVEL,
     STUMP_MEDIAN_F1_CUTOFF,
 )
+from keyvigil.session import written
 
 RUN = ("seed", "sigma")
 GRID_CELL = ("seed", "sigma", "mechanism", "scope")
@@ -76,30 +77,34 @@ def confusion_counts(predictions: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def score_counts(predictions: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Positives and negatives at each distinct score. Everything about ROC starts from this small table."""
-    return (
-        predictions.where(F.col("score").isNotNull())
-        .groupBy(*by, "score")
-        .agg(
-            F.count_if(F.col(LABEL) == 1).alias("positives"),
-            F.count_if(F.col(LABEL) == 0).alias("negatives"),
-        )
+    """Sizes and confusion at each distinct score. Every rate and everything about ROC follows from this small table."""
+    return predictions.groupBy(*by, "score").agg(
+        F.count("*").alias("sessions"),
+        F.count_if(F.col(LABEL) == 1).alias("positives"),
+        F.count_if(F.col(LABEL) == 0).alias("negatives"),
+        *rates.confusion(F.col(LABEL), F.col("predicted")),
     )
 
 
-def areas(predictions: DataFrame, by: Sequence[str]) -> DataFrame:
+def areas_of(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """ROC AUC as the rank statistic: a positive beats the negatives below it and half of those at its own score."""
-    placed = running_totals(score_counts(predictions, by), by, "score", ["positives", "negatives"])
+    known = counts.where(F.col("score").isNotNull()).select(*by, "score", "positives", "negatives")
+    placed = running_totals(known, by, "score", ["positives", "negatives"])
     wins = F.sum(F.col("positives") * (F.col("negatives_before") + F.col("negatives") / F.lit(2.0)))
     pairs = F.max("positives_total").cast("double") * F.max("negatives_total").cast("double")
     return placed.groupBy(*by).agg(half_even(F.try_divide(wins, pairs)).alias("roc_auc"))
 
 
+def areas(predictions: DataFrame, by: Sequence[str]) -> DataFrame:
+    return areas_of(score_counts(predictions, by), by)
+
+
 def roc_curve(predictions: DataFrame, by: Sequence[str]) -> DataFrame:
     """(FPR, TPR) at each distinct score from the highest down, with the origin as the point above every score."""
-    placed = running_totals(
-        score_counts(predictions, by), by, "score", ["positives", "negatives"], descending=True
+    known = score_counts(predictions.where(F.col("score").isNotNull()), by).select(
+        *by, "score", "positives", "negatives"
     )
+    placed = running_totals(known, by, "score", ["positives", "negatives"], descending=True)
     points = placed.select(
         *by,
         "score",
@@ -116,15 +121,15 @@ def roc_curve(predictions: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def run_metrics(predictions: DataFrame, administrators: DataFrame, by: Sequence[str] = GRID_CELL) -> DataFrame:
-    """One row per run, mechanism and scope: sizes, confusion, rounded rates and the AUC."""
-    scoped = in_scopes(predictions, administrators)
-    counted = scoped.groupBy(*by).agg(
-        F.count("*").alias("sessions"),
-        F.count_if(F.col(LABEL) == 1).alias("positives"),
-        *rates.confusion(F.col(LABEL), F.col("predicted")),
-    )
+    """One row per run, mechanism and scope: sizes, confusion, rounded rates and the AUC.
+
+    The predictions are read once, down to counts per score; that table is stored and gives both the confusion and
+    the AUC.
+    """
+    counts = written(score_counts(in_scopes(predictions, administrators), by), "score-counts")
+    counted = counts.groupBy(*by).agg(*[F.sum(name).alias(name) for name in ("sessions", "positives", *CELLS)])
     rated = counted.select("*", *rates.rate_columns())
-    return rated.join(areas(scoped, by), list(by), "left")
+    return rated.join(areas_of(counts, by), list(by), "left")
 
 
 def triviality(split_table: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
@@ -177,7 +182,10 @@ def with_holm(rows: DataFrame) -> DataFrame:
 
 
 def comparison(metrics: DataFrame, stumps: DataFrame, models: Sequence[str]) -> DataFrame:
-    """One row per condition and model: paired F1 difference, test, exclusion and corrected p."""
+    """One row per condition and model: paired F1 difference, test, exclusion and corrected p.
+
+    Both inputs have one row per cell or run of the grid and are read several times: hand over stored tables.
+    """
     differences = paired_differences(metrics, models)
     spread = differences.groupBy("sigma", "model").agg(
         F.count("*").alias("seeds"),
@@ -252,8 +260,8 @@ def evaluation(
     models: Sequence[str],
 ) -> Evaluation:
     """All runs of the grid to the four result tables; `seed` and `sigma` are columns, so there is no loop."""
-    metrics = run_metrics(predictions, administrators)
-    trivial = triviality(split_table, RUN)
+    metrics = written(run_metrics(predictions, administrators), "metrics")
+    trivial = written(triviality(split_table, RUN), "triviality")
     return Evaluation(metrics, trivial, comparison(metrics, trivial, models), timing_summary(timings))
 
 

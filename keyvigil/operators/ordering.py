@@ -119,31 +119,39 @@ def value_bucket(value: Column) -> Column:
 def running_totals(
     values: DataFrame, group: Sequence[str], value: str, sums: Sequence[str], descending: bool = False
 ) -> DataFrame:
-    """For one row per (group, value): the sum of every earlier value (`x_before`) and of all (`x_total`).
+    """For one row per (group, value): the sum of every earlier value (`x_before`) and of all (`x_total`), and the
+    value that follows (`next_value`, NULL after the last).
 
     The caller has already added up equal values, so heavy ties are one row. Values are bucketed by size; a window
     over the bucket sums gives the offset and a window inside the bucket the rest.
     """
     group = list(group)
     bucketed = values.withColumn(_BUCKET, value_bucket(F.col(value)))
-    per_bucket = bucketed.groupBy(*group, _BUCKET).agg(*[F.sum(s).alias(f"_{s}") for s in sums])
+    first = F.max(value) if descending else F.min(value)
+    per_bucket = bucketed.groupBy(*group, _BUCKET).agg(first.alias("_first"), *[F.sum(s).alias(f"_{s}") for s in sums])
     bucket_order = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
     value_order = F.col(value).desc() if descending else F.col(value).asc()
     whole = W.partitionBy(*group)
-    earlier = whole.orderBy(bucket_order).rowsBetween(*_BEFORE)
+    in_order = whole.orderBy(bucket_order)
+    earlier = in_order.rowsBetween(*_BEFORE)
     offsets = per_bucket.select(
         *group,
         _BUCKET,
         *[F.coalesce(F.sum(f"_{s}").over(earlier), F.lit(0)).alias(f"_{s}_offset") for s in sums],
         *[F.sum(f"_{s}").over(whole).alias(f"{s}_total") for s in sums],
+        F.lead("_first").over(in_order).alias("_after"),
+    )
+    inside = W.partitionBy(*group, _BUCKET).orderBy(value_order)
+    so_far = inside.rowsBetween(*_BEFORE)
+    return bucketed.join(offsets, [*group, _BUCKET]).select(
+        *values.columns,
+        *[f"{s}_total" for s in sums],
+        *[
+            (F.col(f"_{s}_offset") + F.coalesce(F.sum(s).over(so_far), F.lit(0))).alias(f"{s}_before")
+            for s in sums
+        ],
+        F.coalesce(F.lead(value).over(inside), F.col("_after")).alias("next_value"),
     )
-    inside = W.partitionBy(*group, _BUCKET).orderBy(value_order).rowsBetween(*_BEFORE)
-    joined = bucketed.join(offsets, [*group, _BUCKET])
-    for s in sums:
-        joined = joined.withColumn(
-            f"{s}_before", F.col(f"_{s}_offset") + F.coalesce(F.sum(s).over(inside), F.lit(0))
-        )
-    return joined.drop(_BUCKET, *[f"_{s}_offset" for s in sums])
 
 
 def quantiles(

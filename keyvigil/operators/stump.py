@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyvigil.functions import rates
 from keyvigil.functions.rates import half_even
 from keyvigil.operators.calibration import in_long_form
-from keyvigil.operators.ordering import running_totals, value_bucket
+from keyvigil.operators.ordering import running_totals
 from keyvigil.schemas import ATTRIBUTES, LABEL
 
 
@@ -20,22 +19,6 @@ def _gini(positives: Column, total: Column) -> Column:
     return F.lit(2.0) * positives * (total - positives) / total
 
 
-def next_value(values: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """The next larger distinct value in the group, from a window inside each bucket and one over the buckets."""
-    group = list(group)
-    cut = values.withColumn("_bucket", value_bucket(F.col(value)))
-    firsts = cut.groupBy(*group, "_bucket").agg(F.min(value).alias("_least"))
-    following = firsts.select(
-        *group, "_bucket", F.lead("_least").over(W.partitionBy(*group).orderBy("_bucket")).alias("_after")
-    )
-    inside = W.partitionBy(*group, "_bucket").orderBy(value)
-    return (
-        cut.join(following, [*group, "_bucket"])
-        .withColumn("next_value", F.coalesce(F.lead(value).over(inside), F.col("_after")))
-        .drop("_bucket", "_after")
-    )
-
-
 def best_cuts(train: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
     """Per run the attribute and midpoint with the least weighted gini, and the class of each leaf.
 
@@ -48,7 +31,7 @@ def best_cuts(train: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
     per_value = long.groupBy(*key, "value").agg(
         F.count("*").alias("rows"), F.count_if(F.col(LABEL) == 1).alias("positives")
     )
-    placed = next_value(running_totals(per_value, key, "value", ["rows", "positives"]), key, "value")
+    placed = running_totals(per_value, key, "value", ["rows", "positives"])
     left_rows = F.col("rows_before") + F.col("rows")
     left_positives = F.col("positives_before") + F.col("positives")
     right_rows = F.col("rows_total") - left_rows
@@ -85,15 +68,21 @@ def decision_stump(table: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame
     decided = F.when(chosen <= F.col("cut.threshold"), F.col("cut.below")).when(
         chosen > F.col("cut.threshold"), F.col("cut.above")
     )
+    # Every row of a run carries the same cut, so the cut comes along with the counts.
     counted = (
         joined.withColumn("predicted", F.coalesce(decided, F.lit(0)))
         .groupBy(*by)
-        .agg(*rates.confusion(F.col(LABEL), F.col("predicted")))
+        .agg(
+            *rates.confusion(F.col(LABEL), F.col("predicted")),
+            F.max("cut.place").alias("_place"),
+            F.max("cut.threshold").alias("_threshold"),
+        )
     )
     f1 = rates.rates(*(F.col(cell) for cell in rates.CELLS))["f1"]
-    return counted.join(F.broadcast(cuts), by, "left").select(
+    names = F.array(*[F.lit(name) for name in ATTRIBUTES])
+    return counted.select(
         *by,
-        F.coalesce(F.col("cut.attribute"), F.lit("")).alias("stump_attribute"),
-        half_even(F.col("cut.threshold")).alias("stump_threshold"),
+        F.coalesce(F.get(names, (F.col("_place") - 1).cast("int")), F.lit("")).alias("stump_attribute"),
+        half_even(F.col("_threshold")).alias("stump_threshold"),
         half_even(f1).alias("stump_f1"),
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import cached_property, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -31,7 +31,7 @@ from keyvigil.operators import (
 )
 from keyvigil.plans.pipeline import Pipeline
 from keyvigil.schemas import ATTRIBUTES, IDENTIFIERS, LABEL, RULE_COLUMNS, RULES
-from keyvigil.session import new_folder
+from keyvigil.session import new_folder, written
 from keyvigil.sources import tables
 from keyvigil.sources.adapter import KEY_NUMBERS, PERIOD, SIGMAS, STAND_INS, Adapter
 from keyvigil.streaming import jobs
@@ -60,10 +60,15 @@ class Context(Adapter):
         # One consumer only: nothing is gained from storing the sessions.
         self.direct = Pipeline(self.log, self.compromised, store=False)
 
-    @property
+    @cached_property
     def metrics(self) -> DataFrame:
         return evaluation.run_metrics(self.predictions, self.administrators)
 
+    @cached_property
+    def stored_metrics(self) -> DataFrame:
+        """The metric table as its later readers find it: stored, one row per cell of the grid."""
+        return written(self.metrics, "metrics")
+
     @property
     def traffic(self) -> DataFrame:
         return description.traffic_sessions(self.requests, self.operators)
@@ -381,7 +386,7 @@ def d15(c: Context) -> DataFrame:
 
 @query("d16_median_f1")
 def d16(c: Context) -> DataFrame:
-    return evaluation.median_f1(c.metrics)
+    return evaluation.median_f1(c.stored_metrics)
 
 
 @query("d17_f1_summary")
@@ -633,13 +638,13 @@ def e10(c: Context) -> DataFrame:
 
 @query("e11_signed_rank")
 def e11(c: Context) -> DataFrame:
-    tested = signed_rank(evaluation.paired_differences(c.metrics, STAND_INS), ("sigma", "model"), "difference")
+    tested = signed_rank(evaluation.paired_differences(c.stored_metrics, STAND_INS), ("sigma", "model"), "difference")
     return tested.select("sigma", "model", "pairs", "statistic", six("p_value"))
 
 
 @query("e12_holm")
 def e12(c: Context) -> DataFrame:
-    tested = signed_rank(evaluation.paired_differences(c.metrics, STAND_INS), ("sigma", "model"), "difference")
+    tested = signed_rank(evaluation.paired_differences(c.stored_metrics, STAND_INS), ("sigma", "model"), "difference")
     rounded = tested.select("sigma", "model", six("p_value"))
     corrected = holm(rounded, F.col("p_value").isNotNull(), "p_value", "p_holm", ("sigma", "model"))
     return corrected.select("sigma", "model", "p_value", six("p_holm"))
@@ -663,7 +668,7 @@ def f1(c: Context) -> DataFrame:
 def f2(c: Context) -> DataFrame:
     best = W.partitionBy("sigma", "scope").orderBy(F.col("median_f1").desc_nulls_last(), "mechanism")
     return (
-        evaluation.median_f1(c.metrics)
+        evaluation.median_f1(c.stored_metrics)
         .withColumn("_rank", F.row_number().over(best))
         .where(F.col("_rank") == 1)
         .select("sigma", "scope", "mechanism", "median_f1")
@@ -889,7 +894,7 @@ def h12_forest(c: Context) -> DataFrame:
 
 @query("h13_paired_differences")
 def h13(c: Context) -> DataFrame:
-    return evaluation.paired_differences(c.metrics, STAND_INS).select("seed", "sigma", "model", six("difference"))
+    return evaluation.paired_differences(c.stored_metrics, STAND_INS).select("seed", "sigma", "model", six("difference"))
 
 
 def _run_splits(c: Context) -> DataFrame:
@@ -898,8 +903,8 @@ def _run_splits(c: Context) -> DataFrame:
 
 
 def _comparison(c: Context) -> DataFrame:
-    cuts = stump.decision_stump(c.audit.split).withColumn("sigma", F.explode(F.array(*[F.lit(s) for s in SIGMAS])))
-    return evaluation.comparison(c.metrics, cuts, STAND_INS)
+    cuts = written(stump.decision_stump(c.audit.split), "stumps").withColumn("sigma", F.explode(F.array(*[F.lit(s) for s in SIGMAS])))
+    return evaluation.comparison(c.stored_metrics, cuts, STAND_INS)
 
 
 @query("h14_comparison")
