@@ -14,6 +14,7 @@ from keyvigil.functions.text import split_cell
 from keyvigil.schemas import MULTIVALUE_SEPARATOR, TABLES
 
 GRID = ("seed", "sigma")
+CSV_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}
 GRID_TYPES = {"seed": T.IntegerType(), "sigma": T.DoubleType()}
 
 
@@ -54,7 +55,7 @@ def read_table(
     as_text = T.StructType(
         [T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.ArrayType) else f.dataType) for f in schema]
     )
-    rows = spark.read.schema(as_text).csv(path, header=True, timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss")
+    rows = spark.read.schema(as_text).options(**CSV_OPTIONS).csv(path)
     lists = {f.name for f in schema if isinstance(f.dataType, T.ArrayType)}
     return rows.select(
         *[split_cell(F.col(f.name)).alias(f.name) if f.name in lists else F.col(f.name) for f in schema]
@@ -93,7 +94,7 @@ def write_table(
     if partitioned_by:
         writer = writer.partitionBy(*partitioned_by)
     if layout == "csv":
-        writer.csv(path, header=True, lineSep="\n", timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss")
+        writer.options(**CSV_OPTIONS).csv(path, lineSep="\n")
     else:
         writer.parquet(path)
     return path
