@@ -76,18 +76,32 @@ def business_day_counts(sessions: DataFrame, operators: DataFrame, period: Perio
 
 
 def shares_on_axis(
-    values: DataFrame, group: Sequence[str], value: str, low: Column, high: Column, name: str = "share"
+    values: DataFrame,
+    group: Sequence[str],
+    value: str,
+    low: Column,
+    high: Column,
+    name: str = "share",
+    mean: str | None = None,
 ) -> DataFrame:
     """Share of the rows at each whole number of an axis; rows off the axis still count in the denominator.
 
-    `low` and `high` may use `_max`, the largest value of the group.
+    `low` and `high` may use `_max`, the largest value of the group. With `mean`, the mean of the group comes along;
+    it is taken from the same counts, so the rows are read once.
     """
     group = list(group)
     counted = values.groupBy(*group, value).agg(F.count("*").alias("_n"))
-    totals = counted.groupBy(*group).agg(F.sum("_n").alias("_all"), F.max(value).alias("_max"))
+    totals = counted.groupBy(*group).agg(
+        F.sum("_n").alias("_all"),
+        F.max(value).alias("_max"),
+        (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("_mean"),
+    )
     spine = integer_spine(totals, low, high, value)
     return spine.join(counted, [*group, value], "left").select(
-        *group, value, share(F.coalesce(F.col("_n"), F.lit(0)), F.col("_all")).alias(name)
+        *group,
+        value,
+        share(F.coalesce(F.col("_n"), F.lit(0)), F.col("_all")).alias(name),
+        *([F.col("_mean").alias(mean)] if mean else []),
     )
 
 
@@ -114,14 +128,14 @@ def weekday_share(sessions: DataFrame) -> DataFrame:
     return share_by_regime(sessions, F.weekday("opened_at"), 7, "weekday")
 
 
-def session_size_share(sessions: DataFrame) -> DataFrame:
-    return shares_on_axis(sessions, ["regime"], "events", F.lit(1), F.col("_max"))
+def session_size_share(sessions: DataFrame, name: str = "share", mean: str | None = None) -> DataFrame:
+    return shares_on_axis(sessions, ["regime"], "events", F.lit(1), F.col("_max"), name, mean)
 
 
-def daily_count_share(daily: DataFrame) -> DataFrame:
+def daily_count_share(daily: DataFrame, name: str = "share", mean: str | None = None) -> DataFrame:
     """From 0 to the busiest day, and to 8 at least."""
     longest = F.greatest(F.lit(SHORTEST_COUNT_AXIS).cast("bigint"), F.col("_max"))
-    return shares_on_axis(daily, ["regime"], "sessions", F.lit(0), longest)
+    return shares_on_axis(daily, ["regime"], "sessions", F.lit(0), longest, name, mean)
 
 
 def operation_mix(requests: DataFrame, operators: DataFrame) -> DataFrame:
@@ -184,9 +198,7 @@ def dispersion_index(sessions: DataFrame) -> DataFrame:
 
 def daily_counts_expected(daily: DataFrame) -> DataFrame:
     """Sessions per business day beside Poisson and negative binomial of the measured mean."""
-    means = daily.groupBy("regime").agg(F.avg("sessions").alias("mean"))
-    observed = daily_count_share(daily).withColumnRenamed("share", "observed")
-    expected = observed.join(means, "regime").select(
+    expected = daily_count_share(daily, "observed", "mean").select(
         "regime",
         "sessions",
         "observed",
@@ -198,9 +210,7 @@ def daily_counts_expected(daily: DataFrame) -> DataFrame:
 
 def session_size_expected(sessions: DataFrame) -> DataFrame:
     """Requests per session beside the geometric of the measured mean."""
-    means = sessions.groupBy("regime").agg(F.avg("events").alias("mean"))
-    observed = session_size_share(sessions).withColumnRenamed("share", "observed")
-    expected = observed.join(means, "regime").select(
+    expected = session_size_share(sessions, "observed", "mean").select(
         "regime", "events", "observed", dist.geometric(F.col("events"), F.col("mean")).alias("geometric")
     )
     return _with_largest_gap(expected, "geometric")

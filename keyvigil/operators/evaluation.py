@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from keyvigil.functions import rates
 from keyvigil.functions.rates import CELLS, half_even, share
-from keyvigil.functions.tests import holm, signed_rank
+from keyvigil.functions.statistics import holm, signed_rank
 from keyvigil.operators.ordering import quantiles, running_totals
-from keyvigil.operators.partition import TRAIN, duplicates, side_counts
+from keyvigil.operators.partition import duplicates, side_counts
 from keyvigil.operators.stump import decision_stump
 from keyvigil.schemas import (
     ADMINISTRATORS,
@@ -96,14 +96,13 @@ def areas_of(counts: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def areas(predictions: DataFrame, by: Sequence[str]) -> DataFrame:
-    return areas_of(score_counts(predictions, by), by)
+    return areas_of(written(score_counts(predictions, by), "score-counts"), by)
 
 
 def roc_curve(predictions: DataFrame, by: Sequence[str]) -> DataFrame:
     """(FPR, TPR) at each distinct score from the highest down, with the origin as the point above every score."""
-    known = score_counts(predictions.where(F.col("score").isNotNull()), by).select(
-        *by, "score", "positives", "negatives"
-    )
+    counts = score_counts(predictions.where(F.col("score").isNotNull()), by)
+    known = written(counts.select(*by, "score", "positives", "negatives"), "score-counts")
     placed = running_totals(known, by, "score", ["positives", "negatives"], descending=True)
     points = placed.select(
         *by,
@@ -111,7 +110,7 @@ def roc_curve(predictions: DataFrame, by: Sequence[str]) -> DataFrame:
         share(F.col("negatives_before") + F.col("negatives"), F.col("negatives_total")).alias("false_positive_rate"),
         share(F.col("positives_before") + F.col("positives"), F.col("positives_total")).alias("true_positive_rate"),
     )
-    origin = placed.select(*by).distinct().select(
+    origin = known.select(*by).distinct().select(
         *by,
         F.lit(None).cast("double").alias("score"),
         F.lit(0.0).alias("false_positive_rate"),
@@ -301,7 +300,3 @@ def grid_totals(metrics: DataFrame) -> DataFrame:
             (F.sum("sessions") - F.sum("positives")).alias("legitimate"),
         )
     )
-
-
-def train_side(table: DataFrame) -> DataFrame:
-    return table.where(F.col("side") == TRAIN)

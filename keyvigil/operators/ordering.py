@@ -164,13 +164,13 @@ def quantiles(
     """Exact quantiles with linear interpolation, for groups of any size.
 
     Equal values are added up on the map side first; the two order statistics around each position are then picked by
-    their cumulative counts.
+    their cumulative counts. The counts are stored, since they are read twice and what they come from may be large.
     """
     group = list(group)
     key = group or ["_all"]
     source = frame if group else frame.withColumn("_all", F.lit(1))
     counts = source.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("n"))
-    placed = running_totals(counts, key, value, ["n"])
+    placed = running_totals(written(counts, "value-counts"), key, value, ["n"])
 
     def order_statistic(place: Column) -> Column:
         covers = (F.col("n_before") <= place) & (place < F.col("n_before") + F.col("n"))

@@ -60,8 +60,11 @@ def split(
 
 
 def written_split(sessions: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
-    """The split as a table, for the many readers that follow (both sides, models, importance)."""
-    return written(split(sessions, by), "split")
+    """The split as a table with one folder per run, for the many readers that follow.
+
+    Rows of a run are gathered before the write; a run that is too large for one task is cut, small ones are merged.
+    """
+    return written(split(sessions, by).hint("rebalance", *by), "split", partitioned_by=by)
 
 
 def side(table: DataFrame, name: str) -> DataFrame:

@@ -88,12 +88,15 @@ def require_known_operators(
         raise KeyError(f"operator {found[0][0]!r} asks for an existing key but is not registered")
 
 
-def reach(grants: DataFrame, keys: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def reach(grants: DataFrame, keys: DataFrame, by: Sequence[str] = (), key_bound: int | None = None) -> DataFrame:
     """(operator, key) pairs an operator can use."""
-    return grants.join(keys.select(*by, "key_id", "scope"), [*by, "scope"]).select(*by, "operator_id", "key_id")
+    listed = lookup(keys.select(*by, "key_id", "scope"), key_bound)
+    return grants.join(listed, [*by, "scope"]).select(*by, "operator_id", "key_id")
 
 
-def reach_counts(grants: DataFrame, keys: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def reach_counts(
+    grants: DataFrame, keys: DataFrame, by: Sequence[str] = (), key_bound: int | None = None
+) -> DataFrame:
     """Keys in and out of reach per operator.
 
     Keys are counted per scope first, so the join carries one number per (operator, scope) instead of every pair of
@@ -101,7 +104,7 @@ def reach_counts(grants: DataFrame, keys: DataFrame, by: Sequence[str] = ()) ->
     """
     per_scope = keys.groupBy(*by, "scope").agg(F.count("*").alias("_keys"))
     inside = (
-        grants.join(per_scope, [*by, "scope"], "left")
+        grants.join(lookup(per_scope, key_bound), [*by, "scope"], "left")
         .groupBy(*by, "operator_id")
         .agg(F.coalesce(F.sum("_keys"), F.lit(0)).cast("bigint").alias("in_reach"))
     )
@@ -113,7 +116,7 @@ def reach_counts(grants: DataFrame, keys: DataFrame, by: Sequence[str] = ()) ->
     return inside.withColumn("out_of_reach", F.col("_all") - F.col("in_reach")).drop("_all")
 
 
-def out_of_reach(operators: DataFrame, keys: DataFrame) -> DataFrame:
+def out_of_reach(operators: DataFrame, keys: DataFrame, key_bound: int | None = None) -> DataFrame:
     """(operator, key) pairs that exist but are not held.
 
     The scopes an operator lacks are an array difference on its own row, then one equi-join on the scope lists the
@@ -123,17 +126,17 @@ def out_of_reach(operators: DataFrame, keys: DataFrame) -> DataFrame:
     missing = operators.select(
         "operator_id", F.explode(F.array_except(every_scope, F.col("scopes"))).alias("scope")
     )
-    return missing.join(keys.select("key_id", "scope"), "scope").select("operator_id", "key_id")
+    return missing.join(lookup(keys.select("key_id", "scope"), key_bound), "scope").select("operator_id", "key_id")
 
 
-def holders_by_scope(grants: DataFrame) -> DataFrame:
+def holders_by_scope(grants: DataFrame, scope_bound: int | None = None) -> DataFrame:
     """Inverse index from each scope to the operators that hold it.
 
     It stays in long form with the size of each list beside it: a scope may be held by millions, so a list in one
     cell would put a whole group in one task.
     """
     sizes = grants.groupBy("scope").agg(F.count("*").alias("holders"))
-    return grants.join(sizes, "scope").select("scope", "operator_id", "holders")
+    return grants.join(lookup(sizes, scope_bound), "scope").select("scope", "operator_id", "holders")
 
 
 def scopes_without_holder(keys: DataFrame, grants: DataFrame) -> DataFrame:

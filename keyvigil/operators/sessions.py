@@ -79,12 +79,21 @@ def openings(log: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
 
 
 def usual_windows(opened: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
-    """Earliest and latest opening time of day of each operator, with the session count."""
-    hour = clock(F.col("opened_at"))
-    return opened.groupBy(*by, "operator_id").agg(
-        F.min(hour).alias("window_opens_at"),
-        F.max(hour).alias("window_closes_at"),
-        F.count("*").alias("session_count"),
+    """Earliest and latest opening time of day of each operator, with the session count.
+
+    Seconds of the day are compared instead of text, which keeps the aggregation a hash aggregation.
+    """
+    moment = F.col("opened_at")
+    second = F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)
+    grouped = opened.groupBy(*by, "operator_id").agg(
+        F.min(second).alias("_first"), F.max(second).alias("_last"), F.count("*").alias("session_count")
+    )
+    return grouped.select(
+        *by,
+        "operator_id",
+        clock(F.timestamp_seconds("_first")).alias("window_opens_at"),
+        clock(F.timestamp_seconds("_last")).alias("window_closes_at"),
+        "session_count",
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from keyvigil.functions import rates
 from keyvigil.functions.calendar import EVALUATED, WARMUP, clock, is_business_day, iso
 from keyvigil.functions.rates import half_even
-from keyvigil.functions.tests import holm, signed_rank
+from keyvigil.functions.statistics import holm, signed_rank
 from keyvigil.functions.text import identifier, join_cell, split_cell, verdict
 from keyvigil.operators import (
     calibration,
@@ -33,7 +33,7 @@ from keyvigil.plans.pipeline import Pipeline
 from keyvigil.schemas import ATTRIBUTES, IDENTIFIERS, LABEL, RULE_COLUMNS, RULES
 from keyvigil.session import new_folder, written
 from keyvigil.sources import tables
-from keyvigil.sources.adapter import KEY_NUMBERS, PERIOD, SIGMAS, STAND_INS, Adapter
+from keyvigil.sources.adapter import KEY_NUMBERS, PERIOD, SCOPE_COUNT, SIGMAS, STAND_INS, Adapter
 from keyvigil.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -257,17 +257,17 @@ def c8(c: Context) -> DataFrame:
 
 @query("c9_reach")
 def c9(c: Context) -> DataFrame:
-    return policy.reach_counts(c.grants, c.keys)
+    return policy.reach_counts(c.grants, c.keys, key_bound=KEY_NUMBERS)
 
 
 @query("c9_keys_out_of_reach")
 def c9_out(c: Context) -> DataFrame:
-    return policy.out_of_reach(c.operators, c.keys)
+    return policy.out_of_reach(c.operators, c.keys, key_bound=KEY_NUMBERS)
 
 
 @query("c10_scope_holders")
 def c10(c: Context) -> DataFrame:
-    return policy.holders_by_scope(c.grants)
+    return policy.holders_by_scope(c.grants, scope_bound=SCOPE_COUNT)
 
 
 @query("c10_uncovered_scopes")

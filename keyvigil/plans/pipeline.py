@@ -29,7 +29,7 @@ class Pipeline:
     def counted(self) -> DataFrame:
         of_phases = self.log.where(F.col("phase").isNotNull())
         grouped = sessions.per_session(of_phases, ("seed", "phase"))
-        return written(grouped, "sessions") if self.store else grouped
+        return written(grouped, "sessions", partitioned_by=("phase",)) if self.store else grouped
 
     def _phase(self, name: str) -> DataFrame:
         return self.counted.where(F.col("phase") == name).drop("phase")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -42,7 +45,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
+def written(frame: DataFrame, name: str, partitioned_by: Sequence[str] = ()) -> DataFrame:
     """The frame, written once as Parquet in the shared folder and read back.
 
     It cuts the lineage, survives lost executors, gives later readers column pruning and a size Catalyst knows,
@@ -50,5 +53,18 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     """
     spark = frame.sparkSession
     path = new_folder(spark, name)
-    frame.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    writer = frame.write.mode("errorifexists")
+    if partitioned_by:
+        writer = writer.partitionBy(*partitioned_by)
+    writer.parquet(path)
+    _made.append(path)
+    return spark.read.schema(frame.schema).parquet(path).select(*frame.columns)
+
+
+def discard_written(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this process, once nothing derived from them is needed any more."""
+    count = 0
+    while _made:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        count += bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
+    return count

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keyvigil.functions import rates
 from keyvigil.functions.calendar import EVALUATED, WARMUP, Period, is_business_day
-from keyvigil.functions.tests import holm, signed_rank
+from keyvigil.functions.statistics import holm, signed_rank
 from keyvigil.functions.text import identifier, join_cell, split_cell, verdict
 from keyvigil.operators import evaluation
 

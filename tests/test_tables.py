@@ -5,8 +5,6 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
-
 from keyvigil.schemas import OPERATORS, THRESHOLDS, WARMUP_SESSIONS
 from keyvigil.sources import tables
 
