@@ -18,12 +18,14 @@ TRAIN, HOLDOUT = "train", "holdout"
 STABLE_ORDER = ("opened_at", "operator_id", "session_id")
 
 
-def in_stable_order(sessions: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
+def in_stable_order(
+    sessions: DataFrame, by: Sequence[str] = ("seed",), largest: int | None = None
+) -> DataFrame:
     """Position of each session within its class, in an order sigma cannot change.
 
     Sessions of one operator opened at the same moment keep their order by id.
     """
-    return numbered(sessions, [*by, LABEL], STABLE_ORDER, "position")
+    return numbered(sessions, [*by, LABEL], STABLE_ORDER, "position", largest)
 
 
 def with_ties(sessions: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
@@ -39,7 +41,10 @@ def holdout_sizes(sessions: DataFrame, by: Sequence[str] = ("seed",)) -> DataFra
 
 
 def split(
-    sessions: DataFrame, by: Sequence[str] = ("seed",), drawn_by: Sequence[str] = ("seed",)
+    sessions: DataFrame,
+    by: Sequence[str] = ("seed",),
+    drawn_by: Sequence[str] = ("seed",),
+    largest: int | None = None,
 ) -> DataFrame:
     """Sessions with `position` and `side`.
 
@@ -47,9 +52,9 @@ def split(
     draw never reads an attribute, an id or sigma, so a class of the same size gets the same positions everywhere.
     """
     require_label(sessions)
-    placed = in_stable_order(sessions, by)
+    placed = in_stable_order(sessions, by, largest)
     key = hash_order(*[F.col(name) for name in drawn_by], F.col(LABEL), F.col("position"))
-    ranked = ranked_by_hash(placed.withColumn("_draw", key), [*by, LABEL], "_draw", "_rank")
+    ranked = ranked_by_hash(placed.withColumn("_draw", key), [*by, LABEL], "_draw", "_rank", largest=largest)
     sizes = holdout_sizes(placed, by).select(*by, LABEL, "holdout")
     held = F.col("_rank") <= F.col("holdout")
     return (
@@ -59,12 +64,14 @@ def split(
     )
 
 
-def written_split(sessions: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
+def written_split(
+    sessions: DataFrame, by: Sequence[str] = ("seed",), largest: int | None = None
+) -> DataFrame:
     """The split as a table with one folder per run, for the many readers that follow.
 
     Rows of a run are gathered before the write; a run that is too large for one task is cut, small ones are merged.
     """
-    return written(split(sessions, by).hint("rebalance", *by), "split", partitioned_by=by)
+    return written(split(sessions, by, largest=largest).hint("rebalance", *by), "split", partitioned_by=by)
 
 
 def side(table: DataFrame, name: str) -> DataFrame:
@@ -116,11 +123,17 @@ def folds(
     by: Sequence[str] = ("seed",),
     count: int = CROSS_VALIDATION_FOLDS,
     repeats: int = CROSS_VALIDATION_REPEATS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Fold of each row in each repeat, balanced within each class."""
     repeated = train.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     key = hash_order(*[F.col(name) for name in by], F.col("repeat"), F.col("session_id"))
     ranked = ranked_by_hash(
-        repeated.withColumn("_draw", key), [*by, "repeat", LABEL], "_draw", "_rank", ties=("session_id",)
+        repeated.withColumn("_draw", key),
+        [*by, "repeat", LABEL],
+        "_draw",
+        "_rank",
+        ties=("session_id",),
+        largest=largest,
     )
     return ranked.withColumn("fold", ((F.col("_rank") - 1) % count).cast("int")).drop("_draw", "_rank")

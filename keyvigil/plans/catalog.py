@@ -522,7 +522,7 @@ def d36(c: Context) -> DataFrame:
 
 @query("d37_importance_medians")
 def d37(c: Context) -> DataFrame:
-    drops = importance.rule_importance(c.audit.holdout, c.audit.thresholds)
+    drops = importance.rule_importance(c.audit.holdout, c.audit.thresholds, largest=c.audit.largest_replica)
     return importance.median_drops(drops, [RULES]).select(
         "attribute", six(RULES), F.col("place").cast("bigint").alias("place")
     )
@@ -558,7 +558,7 @@ def d42(c: Context) -> DataFrame:
 
 @query("e1_stable_order")
 def e1(c: Context) -> DataFrame:
-    placed = partition.with_ties(partition.in_stable_order(c.audit.evaluated))
+    placed = partition.with_ties(partition.in_stable_order(c.audit.evaluated, largest=c.audit.largest_replica))
     return placed.select("seed", LABEL, "session_id", "position", "tie")
 
 
@@ -621,7 +621,7 @@ def e7(c: Context) -> DataFrame:
 
 @query("e8_most_important")
 def e8(c: Context) -> DataFrame:
-    drops = importance.rule_importance(c.audit.holdout, c.audit.thresholds)
+    drops = importance.rule_importance(c.audit.holdout, c.audit.thresholds, largest=c.audit.largest_replica)
     return importance.most_important(drops).select("mechanism", "attribute", six("median_drop"))
 
 
@@ -843,7 +843,7 @@ def h6(c: Context) -> DataFrame:
 
 @query("h7_folds")
 def h7(c: Context) -> DataFrame:
-    placed = partition.folds(c.audit.train)
+    placed = partition.folds(c.audit.train, largest=c.audit.largest_replica)
     return placed.select("seed", LABEL, "session_id", "repeat", "fold")
 
 
@@ -873,14 +873,16 @@ def h10(c: Context) -> DataFrame:
 
 @query("h11_permutations")
 def h11(c: Context) -> DataFrame:
-    placed = importance.in_file_order(c.audit.holdout.select("seed", "session_id"))
+    placed = importance.in_file_order(
+        c.audit.holdout.select("seed", "session_id"), largest=c.audit.largest_replica
+    )
     moved = importance.shuffled_values(placed, ["position"] * len(ATTRIBUTES))
     return moved.withColumnRenamed("swapped", "from_position")
 
 
 @query("h12_rule_importance")
 def h12(c: Context) -> DataFrame:
-    return importance.rule_importance(c.audit.holdout, c.audit.thresholds)
+    return importance.rule_importance(c.audit.holdout, c.audit.thresholds, largest=c.audit.largest_replica)
 
 
 @query("h12_forest_importance")
@@ -889,7 +891,12 @@ def h12_forest(c: Context) -> DataFrame:
     model = learning.fitted(
         learning.FOREST, QUICK[learning.FOREST], c.audit.train, learning.training_seed(("pooled",), learning.FOREST)
     )
-    return importance.model_importance(c.audit.holdout, lambda rows: learning.scored(model, rows), learning.FOREST)
+    return importance.model_importance(
+        c.audit.holdout,
+        lambda rows: learning.scored(model, rows),
+        learning.FOREST,
+        largest=c.audit.largest_replica,
+    )
 
 
 @query("h13_paired_differences")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from keyvigil.functions.calendar import EVALUATED, WARMUP
 from keyvigil.operators import calibration, partition, rules, sessions
+from keyvigil.operators.ordering import largest_group
 from keyvigil.schemas import ATTRIBUTES, IDENTIFIERS, LABEL
 from keyvigil.session import written
 
@@ -73,7 +74,12 @@ class Pipeline:
 
     @cached_property
     def split(self) -> DataFrame:
-        return partition.written_split(self.evaluated)
+        return partition.written_split(self.evaluated, largest=self.largest_replica)
+
+    @cached_property
+    def largest_replica(self) -> int | None:
+        """Sessions of the largest replica in one phase, measured on the stored sessions; unknown when not stored."""
+        return largest_group(self.counted, ("seed", "phase")) if self.store else None
 
     @cached_property
     def holdout(self) -> DataFrame:

@@ -187,6 +187,13 @@ def test_split_is_the_same_in_every_condition(spark):
     assert ids[0].ids == ids[1].ids
 
 
+def test_split_does_not_depend_on_how_rows_are_ranked(spark):
+    table = _labelled(spark, 0.0, 0).drop("sigma")
+    key = ["session_id", "position", "side"]
+    sliced, windowed = partition.split(table), partition.split(table, largest=120)
+    assert sorted(sliced.select(*key).collect()) == sorted(windowed.select(*key).collect())
+
+
 def test_split_ignores_row_order_and_attributes(spark):
     table = _labelled(spark, 0.0, 0).drop("sigma")
     blank = table.orderBy(F.rand(3)).withColumns({name: F.lit(0.0) for name in ATTRIBUTES})

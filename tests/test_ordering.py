@@ -28,10 +28,11 @@ def skewed() -> pd.DataFrame:
     return frame.sample(frac=1, random_state=1).reset_index(drop=True)
 
 
-def test_numbers_follow_the_total_order(spark, skewed):
+@pytest.mark.parametrize("largest", [None, 900, 10**9])
+def test_numbers_follow_the_total_order(spark, skewed, largest):
     expected = skewed.sort_values(["g", "t", "id"])
     expected["position"] = expected.groupby("g").cumcount() + 1
-    found = ordering.numbered(spark.createDataFrame(skewed), ["g"], ["t", "id"]).toPandas()
+    found = ordering.numbered(spark.createDataFrame(skewed), ["g"], ["t", "id"], largest=largest).toPandas()
     merged = found.merge(expected[["id", "position"]], on="id", suffixes=("", "_expected"))
     assert len(merged) == len(skewed)
     assert (merged["position"] == merged["position_expected"]).all()
@@ -81,15 +82,21 @@ def test_quantile_of_everything_needs_no_group(spark, skewed):
     assert found.q == pytest.approx(skewed["v"].median())
 
 
-def test_hash_rank_is_the_order_of_the_hash(spark, skewed):
+@pytest.mark.parametrize("largest", [None, 900, 10**9])
+def test_hash_rank_is_the_order_of_the_hash(spark, skewed, largest):
     keyed = spark.createDataFrame(skewed).withColumn("h", ordering.hash_order(F.col("g"), F.col("id")))
-    found = ordering.ranked_by_hash(keyed, ["g"], "h", "rank").toPandas()
+    found = ordering.ranked_by_hash(keyed, ["g"], "h", "rank", largest=largest).toPandas()
     for group, rows in skewed.groupby("g"):
         expected = sorted(rows["id"], key=lambda i: hashlib.md5(f"{group}|{i}".encode()).hexdigest())
         got = found[found["g"] == group].sort_values("rank")["id"].tolist()
         assert got == expected
 
 
+def test_largest_group_is_measured(spark, skewed):
+    assert ordering.largest_group(spark.createDataFrame(skewed), ["g"]) == 900
+    assert ordering.largest_group(spark.createDataFrame(skewed).limit(0), ["g"]) == 0
+
+
 def test_integer_spine_is_whole_beyond_one_step(spark):
     bounds = spark.createDataFrame([("a", 0, 5000), ("b", 3, 3)], "g string, low long, high long")
     found = ordering.integer_spine(bounds, F.col("low"), F.col("high"), "x")
