@@ -120,7 +120,7 @@ def out_of_reach(operators: DataFrame, keys: DataFrame, key_bound: int | None =
     """(operator, key) pairs that exist but are not held.
 
     The scopes an operator lacks are an array difference on its own row, then one equi-join on the scope lists the
-    keys: no pair that is held is ever produced.
+    keys: no pair that is held is ever produced. The one list of scopes is as long as the repository has scopes.
     """
     every_scope = keys.agg(F.collect_set("scope")).scalar()
     missing = operators.select(

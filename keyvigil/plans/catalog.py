@@ -291,7 +291,9 @@ def c10_uncovered(c: Context) -> DataFrame:
 
 @query("c11_operator_attributes")
 def c11(c: Context) -> DataFrame:
-    return c.traffic.select("session_id", "operator_id", "regime", "source_ip", F.col("from_primary").cast("int").alias("from_primary"))
+    return c.traffic.select(
+        "session_id", "operator_id", "regime", "source_ip", F.col("from_primary").cast("int").alias("from_primary")
+    )
 
 
 # --- D: aggregations -----------------------------------------------------------------------------------------------
@@ -628,7 +630,8 @@ def e8(c: Context) -> DataFrame:
 @query("e9_roc_curve")
 def e9(c: Context) -> DataFrame:
     curve = evaluation.roc_curve(c.predictions, ("sigma", "mechanism"))
-    return curve.select("sigma", "mechanism", half_even(F.col("score"), 9).alias("score"), "false_positive_rate", "true_positive_rate")
+    score = half_even(F.col("score"), 9).alias("score")
+    return curve.select("sigma", "mechanism", score, "false_positive_rate", "true_positive_rate")
 
 
 @query("e10_stump")
