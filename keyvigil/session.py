@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -26,19 +25,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: `spark.checkpoint.dir`, else the context's checkpoint folder.
+    """The folder every executor can reach: `spark.checkpoint.dir`, else the context's, else one in the warehouse.
 
-    Only where neither is set (tests on one machine) a folder of our own is chosen.
+    The warehouse is shared by definition, so no folder of a single machine is ever chosen.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    chosen = context.getCheckpointDir()
-    if chosen is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="keyvigil-"))
-        chosen = context.getCheckpointDir()
-    return chosen
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/keyvigil-stored"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
