@@ -52,14 +52,14 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     `docs` is the result of `identified`.
     """
     slices = sorted_slices(written(hashed_lines(docs, min_chars), "line-hashes"))
-    line = ("h1", "h2")
+    line = ["h1", "h2"]
     heads = slices.groupBy("slice", *line).agg(F.min(ID).alias("low"), F.max(ID).alias("high"))
     shared = (
         heads.groupBy(*line).agg(F.min("low").alias("first_id"), F.max("high").alias("last_id"))
         .where("first_id < last_id").drop("last_id")
     )
     firsts = heads.select("slice", *line).join(shared, line)
-    dropped = slices.join(firsts, ("slice", *line)).where(F.col(ID) != F.col("first_id"))
+    dropped = slices.join(firsts, ["slice", *line]).where(F.col(ID) != F.col("first_id"))
     words = dropped.groupBy(ID, KEY, F.expr(f"pos div {BITS}").cast("int").alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, pos % {BITS})")).alias("bits")
     )
