@@ -89,6 +89,14 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of the `gram` bytes from each place that has so many."""
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+    return mixed((total[gram:] - total[:-gram]) * down[: len(data) - gram + 1])
+
+
 def joined_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All texts in one array, a line feed after each, and the place where each begins (one place more than texts)."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1

@@ -10,7 +10,7 @@ rows. Keys are compared by 128 hash bits. Other columns of the input are not rea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyvigil.llm.common import ID, KEY, TEXT, WHITE, ascii_lower, id_back, identified
@@ -66,24 +66,29 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return words.groupBy(ID, KEY).agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("drops"))
 
 
-def with_kept_text(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Id, key, text, n_lines, n_dropped and kept_text, the remaining lines joined by a line feed."""
-    joined = docs.join(bitmaps, [ID, KEY], "left").withColumn("_lines", _lines())
+def kept_text(text: Column) -> Column:
+    """The text without the lines whose bits are set in the column `drops` (which must not be null)."""
     dense = (
-        f"transform(sequence(0, (size(_lines) - 1) div {BITS}),"
+        f"transform(sequence(0, array_max(drops.word)),"
         " w -> coalesce(element_at(map_from_entries(drops), cast(w as int)), 0L))"
     )
-    lost_lines = f"flatten(transform({dense}, w -> transform(sequence(0, {BITS - 1}), b -> shiftright(w, b) & 1L)))"
-    kept = F.expr(f"zip_with(_lines, slice({lost_lines}, 1, size(_lines)), (x, gone) -> if(gone = 0L, x, null))")
+    flags = F.expr(f"flatten(transform({dense}, w -> transform(sequence(0, {BITS - 1}), b -> shiftright(w, b) & 1L)))")
+    # The shorter list of flags is filled up with nulls; array_join leaves nulls out.
+    lines = F.split(text, "\n", -1)
+    return F.array_join(
+        F.zip_with(lines, flags, lambda line, gone: F.when(F.coalesce(gone, F.lit(0)) == 0, line)), "\n"
+    )
+
+
+def with_kept_text(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Id, key, n_lines, n_dropped and kept_text, the remaining lines joined by a line feed."""
     lost = F.expr("aggregate(drops, 0L, (n, w) -> n + bit_count(w.bits))")
-    return (
-        joined.withColumn("kept_text", F.when(F.col("drops").isNull(), F.col(TEXT)).otherwise(F.array_join(kept, "\n")))
-        .select(
-            ID, KEY, TEXT,
-            F.size("_lines").cast("long").alias("n_lines"),
-            F.coalesce(lost, F.lit(0)).cast("long").alias("n_dropped"),
-            "kept_text",
-        )
+    kept = F.when(F.col("drops").isNull(), F.col(TEXT)).otherwise(kept_text(F.col(TEXT)))
+    return docs.join(bitmaps, [ID, KEY], "left").select(
+        ID, KEY,
+        F.size(_lines()).cast("long").alias("n_lines"),
+        F.coalesce(lost, F.lit(0)).cast("long").alias("n_dropped"),
+        kept.alias("kept_text"),
     )
 
 
