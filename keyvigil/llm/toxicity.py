@@ -1,8 +1,9 @@
 """Toxicity: cumulative-link ordinal regression over sparse text features, giving an expected severity.
 
-P(grade > j) = sigmoid(w.x - t_j) with one weight vector w for all thresholds t_0 < t_1 < ... . x holds log(1 + count) of the
-words, and of the beginnings of words, that toxic texts hold clearly more often than others (a lower confidence bound
-of the log ratio of document shares, so what toxic and other texts share never enters).
+P(grade > j) = sigmoid(w.x - t_j) with one weight vector w for all thresholds t_0 < t_1 < ... . x holds two values, the
+logarithms of one plus count and of one plus count per hundred words, of the words and beginnings of words that toxic texts
+hold clearly more often than others (a lower confidence bound of the log ratio of document shares, so what toxic and other
+texts share never enters).
 
 Labels say toxic or not. Grade 0 is not toxic; toxic texts are graded 1 to `GRADES` by equal shares of their evidence, the
 number of those features per hundred words. Where a table has grades of its own, `fit` takes them as they are.
@@ -29,10 +30,11 @@ from keyvigil.llm.repeats import text_blocks
 MOST_LABELLED = 10_000
 MOST_FEATURES = 4096
 LEAST_TEXTS = 5
-LEAST_RATIO = 1.0  # natural logarithm, after the confidence margin
+LEAST_RATIO = 0.5  # natural logarithm, after the confidence margin
 GRADES = 3
-BEGINNING = 5
-PENALTY = 1e-3
+BEGINNINGS = (4, 5, 6, 7, 8)  # bytes
+LEAST_WORDS = 20  # shorter texts count as this long in densities
+PENALTY = 3e-4
 STEPS = 400
 
 _LETTER = np.zeros(256, bool)
@@ -47,12 +49,15 @@ def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(letter) and letter[0]:
         edges = np.concatenate((np.zeros(1, np.int64), edges))
     begin, end = edges[0::2], edges[1::2]
-    long_ = end - begin > BEGINNING
     values = data.astype(np.uint64) + np.uint64(1)
-    heads = span_hashes(values, begin[long_], begin[long_] + BEGINNING) ^ np.uint64(0xA5A5A5A5)
     document = np.searchsorted(starts, begin, side="right") - 1
     count = np.bincount(document, minlength=len(texts))
-    return np.concatenate((span_hashes(values, begin, end), heads)), np.concatenate((document, document[long_])), count
+    hashes, owners = [span_hashes(values, begin, end)], [document]
+    for size in BEGINNINGS:
+        longer = end - begin > size
+        hashes.append(span_hashes(values, begin[longer], begin[longer] + size) ^ np.uint64(0xA5A5A5A5))
+        owners.append(document[longer])
+    return np.concatenate(hashes), np.concatenate(owners), count
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,17 +79,28 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sparse(texts: list[bytes], vocabulary: np.ndarray):
-    """Text, feature number and log(1 + count) of all known features, and words per text."""
+    """Text, feature number and count of all known features, and words per text."""
     hashes, document, words = _features(texts)
-    place = np.minimum(np.searchsorted(vocabulary, hashes), max(len(vocabulary) - 1, 0))
-    known = vocabulary[place] == hashes if len(vocabulary) else np.zeros(len(hashes), bool)
-    cell, count = np.unique(document[known] * max(len(vocabulary), 1) + place[known], return_counts=True)
-    return cell // max(len(vocabulary), 1), cell % max(len(vocabulary), 1), count, words
+    size = max(len(vocabulary), 1)
+    maybe = np.zeros(1 << 16, bool)
+    maybe[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
+    near = maybe[(hashes >> np.uint64(48)).astype(np.int64)]
+    hashes, document = hashes[near], document[near]
+    place = np.minimum(np.searchsorted(vocabulary, hashes), size - 1)
+    known = vocabulary[place] == hashes if len(vocabulary) else np.zeros(0, bool)
+    cell, count = np.unique(document[known] * size + place[known], return_counts=True)
+    return cell // size, cell % size, count, words
+
+
+def _valued(row: np.ndarray, column: np.ndarray, count: np.ndarray, words: np.ndarray, size: int):
+    """Cells of the matrix x: counts in the first `size` columns, densities in the others."""
+    density = np.log1p(100 * count / np.maximum(words[row], LEAST_WORDS))
+    return np.concatenate((row, row)), np.concatenate((column, column + size)), np.concatenate((np.log1p(count), density))
 
 
 @dataclass
 class Model:
-    """Sorted feature hashes, their shared weights, and the thresholds between grades in rising order."""
+    """Sorted feature hashes, shared weights (counts, then densities), and the thresholds between grades in rising order."""
 
     vocabulary: np.ndarray
     weights: np.ndarray
@@ -95,10 +111,10 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -50, 50)))
 
 
-def fit(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, vocabulary: np.ndarray) -> Model:
+def fit(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, vocabulary: np.ndarray, columns: int) -> Model:
     """Maximum likelihood with a quadratic penalty, by accelerated gradient steps over the whole (bounded) sample."""
     top = int(grade.max()) if len(grade) else 0
-    weights = np.zeros(len(vocabulary))
+    weights = np.zeros(columns)
     # Thresholds as a first one and logarithms of the gaps, so that they stay in order.
     shares = np.array([np.mean(grade > j) for j in range(top)]) if top else np.zeros(0)
     start = np.log((1 - np.clip(shares, 1e-6, 1 - 1e-6)) / np.clip(shares, 1e-6, 1 - 1e-6))
@@ -181,11 +197,11 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mo
     column = np.array([x for r in sample for x in r["features"]], np.int64)
     count = np.array([x for r in sample for x in r["counts"]], float)
     toxic = np.array([r["toxic"] for r in sample])
-    words = np.maximum(np.array([r["words"] for r in sample], float), 1)
-    evidence = np.bincount(row, weights=count, minlength=len(sample)) / words
+    words = np.array([r["words"] for r in sample], float)
+    evidence = np.bincount(row, weights=count, minlength=len(sample)) / np.maximum(words, 1)
     cuts = np.quantile(evidence[toxic == 1], np.arange(1, GRADES) / GRADES)
     grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, evidence, side="right"), 0)
-    return fit(row, column, np.log1p(count), grade, vocabulary)
+    return fit(*_valued(row, column, count, words, len(vocabulary)), grade, vocabulary, 2 * len(vocabulary))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -193,9 +209,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_blocks(batches):
-            document, feature, count, _ = _sparse(texts, model.vocabulary)
-            weight = np.log1p(count) * model.weights[feature] if len(feature) else np.zeros(0)
-            above = model.above(np.bincount(document, weights=weight, minlength=len(texts)))
+            row, column, count, words = _sparse(texts, model.vocabulary)
+            row, column, value = _valued(row, column, count, words, len(model.vocabulary))
+            above = model.above(np.bincount(row, weights=value * model.weights[column], minlength=len(texts)))
             steps = np.column_stack((np.ones(len(texts)), above, np.zeros(len(texts))))
             grade = np.argmax(steps[:, :-1] - steps[:, 1:], axis=1)
             toxic = above[:, 0] if above.shape[1] else np.zeros(len(texts))

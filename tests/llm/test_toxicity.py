@@ -33,7 +33,7 @@ def test_grades_are_ordered_by_shared_weights():
     below = 1 / (1 + np.exp((x @ weights)[:, None] - thresholds[None, :]))
     grade = (rng.random(n)[:, None] > below).sum(axis=1)
     row, column = np.repeat(np.arange(n), 3), np.tile(np.arange(3), n)
-    model = toxicity.fit(row, column, x.ravel(), grade, np.arange(3, dtype=np.uint64))
+    model = toxicity.fit(row, column, x.ravel(), grade, np.arange(3, dtype=np.uint64), 3)
     assert np.all(np.diff(model.thresholds) > 0)
     assert np.abs(model.weights - weights).max() < 0.25 and np.abs(model.thresholds - thresholds).max() < 0.3
     assert abs(model.above(x @ model.weights).sum(axis=1).mean() - grade.mean()) < 0.05
