@@ -11,22 +11,35 @@ from pyspark.sql import functions as F
 
 # Fixed value: up to this many pairs without ties or zeros the null distribution is counted exactly.
 EXACT_PAIRS = 50
-SERIES_TERMS = 120
+# Where the series ends and the continued fraction begins. At this point 80 terms of either reach double precision, and
+# away from it both converge faster, so the two together hold for every z.
+TAIL_BEGINS = 2.5
+TERMS = 80
 
 
 def two_sided_normal(z: Column) -> Column:
-    """P(|Z| >= |z|) from the all-positive series of the error function, which loses no digits to cancellation."""
+    """P(|Z| >= |z|), with full relative precision also far out in the tail."""
     x = F.abs(z) / F.lit(math.sqrt(2.0))
+    return F.when(x < TAIL_BEGINS, _near_the_middle(x)).otherwise(_tail(x))
+
+
+def _near_the_middle(x: Column) -> Column:
+    """One minus the error function, whose series has positive terms only."""
     start = F.struct(x.alias("term"), x.alias("total"))
-    step = lambda state, k: _next_term(state, k, x)
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(SERIES_TERMS)), start, step, lambda state: state["total"])
-    error = F.lit(2.0 / math.sqrt(math.pi)) * F.exp(-x * x) * total
-    return F.greatest(F.lit(1.0) - error, F.lit(0.0))
+
+    def add(state: Column, k: Column) -> Column:
+        term = state["term"] * F.lit(2.0) * x * x / (F.lit(2.0) * k + F.lit(1.0))
+        return F.struct(term.alias("term"), (state["total"] + term).alias("total"))
+
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, add, lambda state: state["total"])
+    return F.lit(1.0) - F.lit(2.0 / math.sqrt(math.pi)) * F.exp(-x * x) * total
 
 
-def _next_term(state: Column, k: Column, x: Column) -> Column:
-    term = state["term"] * F.lit(2.0) * x * x / (F.lit(2.0) * k + F.lit(1.0))
-    return F.struct(term.alias("term"), (state["total"] + term).alias("total"))
+def _tail(x: Column) -> Column:
+    """The complementary error function as a continued fraction, from its innermost level outwards."""
+    levels = F.sequence(F.lit(TERMS), F.lit(1), F.lit(-1))
+    fraction = F.aggregate(levels, x, lambda below, k: x + k / F.lit(2.0) / below)
+    return F.exp(-x * x) / (F.lit(math.sqrt(math.pi)) * fraction)
 
 
 def exact_two_sided(pairs: Column, statistic: Column) -> Column:
@@ -50,8 +63,10 @@ def exact_two_sided(pairs: Column, statistic: Column) -> Column:
     return F.least(F.lit(1.0), F.lit(2.0) * below / F.pow(F.lit(2.0), pairs))
 
 
-def signed_rank(differences: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Two-sided test per group, zeros dropped.
+def signed_rank(
+    differences: DataFrame, by: Sequence[str], value: str, exact_pairs: int = EXACT_PAIRS
+) -> DataFrame:
+    """Two-sided test per group, zeros dropped: exact up to `exact_pairs` pairs without ties or zeros, else normal.
 
     Fewer than two pairs leave both results NULL, pairs that are all equal give (0, 1). A group has one row per
     replica, so its window is short.
@@ -79,7 +94,7 @@ def signed_rank(differences: DataFrame, by: Sequence[str], value: str) -> DataFr
     w = F.least("_up", "_down")
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("_tie_term") / 48
     z = F.try_divide(w - n * (n + 1) / 4, F.sqrt(variance))
-    is_exact = (F.col("_n") <= EXACT_PAIRS) & (F.col("_n") == F.col("pairs")) & (F.col("_tie_term") == 0)
+    is_exact = (F.col("_n") <= exact_pairs) & (F.col("_n") == F.col("pairs")) & (F.col("_tie_term") == 0)
     p = F.when(is_exact, exact_two_sided(F.col("_n"), w)).otherwise(two_sided_normal(z))
     undefined = F.col("pairs") < 2
     none_differ = F.col("_n") == 0

@@ -64,10 +64,30 @@ def threshold_set_differences(table: DataFrame) -> DataFrame:
     return missing.unionByName(found.exceptAll(expected).withColumn("side", F.lit("foreign")))
 
 
+SHOWN_IN_ERRORS = 20
+
+
 def require_threshold_set(table: DataFrame) -> None:
-    wrong = sorted(row.attribute for row in threshold_set_differences(table).take(20))
-    if wrong:
-        raise ValueError(f"threshold table differs from the six magnitude rules at {wrong}")
+    wrong = threshold_set_differences(table).select("attribute").distinct()
+    shown = [row.attribute for row in wrong.orderBy("attribute").take(SHOWN_IN_ERRORS)]
+    if shown:
+        more = wrong.count() - len(shown)
+        raise ValueError(f"threshold table differs from the six magnitude rules at {shown}" + f" and {more} more" * (more > 0))
+
+
+def replicas_without_thresholds(sessions: DataFrame, table: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
+    """Replicas that have sessions but not all six thresholds."""
+    whole = (
+        table.where(F.col("attribute").isin(*MAGNITUDE_ATTRIBUTES) & F.col("threshold").isNotNull())
+        .groupBy(*by).agg(F.count_distinct("attribute").alias("_n")).where(F.col("_n") == len(MAGNITUDE_ATTRIBUTES))
+    )
+    return sessions.select(*by).distinct().join(whole, list(by), "left_anti").select(*by)
+
+
+def require_thresholds_of(sessions: DataFrame, table: DataFrame, by: Sequence[str] = ("seed",)) -> None:
+    missing = replicas_without_thresholds(sessions, table, by).take(1)
+    if missing:
+        raise ValueError(f"replica {tuple(missing[0])} has sessions but no complete set of thresholds")
 
 
 def cutoffs(table: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:

@@ -36,16 +36,23 @@ GAP_WIDTHS = (1, 2, 5, 10, 20, 30, 60)
 GAP_BARS = 20
 
 
+def gap_widths(decades: int = 9) -> list[int]:
+    """The fixed widths, then round numbers of minutes in every further decade."""
+    return [*GAP_WIDTHS, *(GAP_WIDTHS[-1] * step * 10**k for k in range(decades) for step in (2, 5, 10))]
+
+
+
 # --- traffic -------------------------------------------------------------------------------------------------------
 
 
-def traffic_sessions(requests: DataFrame, operators: DataFrame) -> DataFrame:
+def traffic_sessions(requests: DataFrame, operators: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
     """One row per session: owner, regime, opening, end, size, minutes, source, and whether from the primary address."""
     opening = F.min(F.struct("timestamp", "event_id", "operator_id", "source_ip"))
     grouped = (
-        requests.groupBy("session_id")
+        requests.groupBy(*by, "session_id")
         .agg(opening.alias("_opening"), F.max("timestamp").alias("closed_at"), F.count("*").alias("events"))
         .select(
+            *by,
             "session_id",
             F.col("_opening.operator_id").alias("operator_id"),
             F.col("_opening.timestamp").alias("opened_at"),
@@ -54,22 +61,24 @@ def traffic_sessions(requests: DataFrame, operators: DataFrame) -> DataFrame:
             F.col("_opening.source_ip").alias("source_ip"),
         )
     )
-    owners = operators.select("operator_id", "profile", "regime", F.element_at("usual_ips", 1).alias("_primary"))
+    owners = operators.select(*by, "operator_id", "profile", "regime", F.element_at("usual_ips", 1).alias("_primary"))
     return (
-        grouped.join(owners, "operator_id", "left")
+        grouped.join(owners, [*by, "operator_id"], "left")
         .withColumn("minutes", minutes_between(F.col("opened_at"), F.col("closed_at")))
         .withColumn("from_primary", F.col("source_ip") == F.col("_primary"))
         .drop("_primary")
     )
 
 
-def business_day_counts(sessions: DataFrame, operators: DataFrame, period: Period) -> DataFrame:
+def business_day_counts(
+    sessions: DataFrame, operators: DataFrame, period: Period, by: Sequence[str] = ("seed",)
+) -> DataFrame:
     """Sessions of each operator on each business day of the period, 0 on the days without any."""
     days = F.filter(period.phase_days(), is_business_day)
-    spine = operators.select("operator_id", "regime", F.explode(days).alias("day"))
-    counted = sessions.groupBy("operator_id", F.to_date("opened_at").alias("day")).agg(F.count("*").alias("_n"))
+    spine = operators.select(*by, "operator_id", "regime", F.explode(days).alias("day"))
+    counted = sessions.groupBy(*by, "operator_id", F.to_date("opened_at").alias("day")).agg(F.count("*").alias("_n"))
     return (
-        spine.join(counted, ["operator_id", "day"], "left")
+        spine.join(counted, [*by, "operator_id", "day"], "left")
         .withColumn("sessions", F.coalesce(F.col("_n"), F.lit(0)))
         .drop("_n")
     )
@@ -138,19 +147,19 @@ def daily_count_share(daily: DataFrame, name: str = "share", mean: str | None =
     return shares_on_axis(daily, ["regime"], "sessions", F.lit(0), longest, name, mean)
 
 
-def operation_mix(requests: DataFrame, operators: DataFrame) -> DataFrame:
+def operation_mix(requests: DataFrame, operators: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
     """Measured and declared operation shares of each profile, and the largest gap between them.
 
     Requests are counted per (operator, operation) before they meet the operators.
     """
-    counted = requests.groupBy("operator_id", "operation").agg(F.count("*").alias("_n"))
+    counted = requests.groupBy(*by, "operator_id", "operation").agg(F.count("*").alias("_n"))
     per_profile = (
-        counted.join(operators.select("operator_id", "profile"), "operator_id")
+        counted.join(operators.select(*by, "operator_id", "profile"), [*by, "operator_id"])
         .groupBy("profile", "operation")
         .agg(F.sum("_n").alias("_n"))
     )
     declared = requests.sparkSession.createDataFrame(
-        [(profile, op, mix[i]) for profile, mix in DECLARED_MIX.items() for i, op in enumerate(OPERATIONS)],
+        [(profile, op, share_) for profile, mix in DECLARED_MIX.items() for op, share_ in mix.items()],
         "profile string, operation string, declared double",
     )
     whole = per_profile.groupBy("profile").agg(F.sum("_n").alias("_all"))
@@ -173,19 +182,19 @@ def regime_overview(sessions: DataFrame, operators: DataFrame) -> DataFrame:
     )
 
 
-def median_sessions_per_operator(sessions: DataFrame, period: Period) -> DataFrame:
+def median_sessions_per_operator(sessions: DataFrame, period: Period, by: Sequence[str] = ("seed",)) -> DataFrame:
     """Median number of sessions an operator of each regime has in the evaluated phase."""
     counted = (
         sessions.where(period.belongs_to(EVALUATED, F.col("opened_at")))
-        .groupBy("regime", "operator_id")
+        .groupBy(*by, "regime", "operator_id")
         .agg(F.count("*").alias("_n"))
     )
     return quantiles(counted, ["regime"], "_n", {"median_sessions": 0.5}, count="operators")
 
 
-def dispersion_index(sessions: DataFrame) -> DataFrame:
+def dispersion_index(sessions: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
     """Variance over mean of the sessions per operator and active day, by regime."""
-    daily = sessions.groupBy("regime", "operator_id", F.to_date("opened_at").alias("day")).agg(
+    daily = sessions.groupBy(*by, "regime", "operator_id", F.to_date("opened_at").alias("day")).agg(
         F.count("*").alias("_n")
     )
     return daily.groupBy("regime").agg(
@@ -216,14 +225,14 @@ def session_size_expected(sessions: DataFrame) -> DataFrame:
     return _with_largest_gap(expected, "geometric")
 
 
-def gaps_expected(requests: DataFrame, operators: DataFrame) -> DataFrame:
+def gaps_expected(requests: DataFrame, operators: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
     """Seconds between consecutive requests of a session beside the exponential of the measured mean.
 
     Bars have the round width nearest to a fifth of the mean, up to four means.
     """
     ordered = with_previous(
-        requests.select("session_id", "operator_id", "timestamp", "event_id"),
-        ["session_id"],
+        requests.select(*by, "session_id", "operator_id", "timestamp", "event_id"),
+        [*by, "session_id"],
         ["timestamp", "event_id"],
         "timestamp",
         "_previous",
@@ -231,18 +240,16 @@ def gaps_expected(requests: DataFrame, operators: DataFrame) -> DataFrame:
     seconds = (minutes_between(F.col("_previous"), F.col("timestamp")) * 60).alias("seconds")
     gaps = (
         ordered.where(F.col("_previous").isNotNull())
-        .join(operators.select("operator_id", "regime"), "operator_id")
+        .join(operators.select(*by, "operator_id", "regime"), [*by, "operator_id"])
         .select("regime", seconds)
     )
     micros = F.round(F.col("seconds") * 1e6).cast("bigint")
     means = gaps.groupBy("regime").agg((F.sum(micros) / F.count("*") / 1e6).alias("mean"), F.count("*").alias("_all"))
     target = F.lit(4.0) * F.col("mean") / GAP_BARS
-    width = F.lit(GAP_WIDTHS[0])
-    for wider in GAP_WIDTHS[1:]:
-        width = F.when(F.abs(F.lit(wider) - target) < F.abs(width - target), F.lit(wider)).otherwise(width)
-    # One row per regime on the broadcast side.
-    sized = means.withColumn("width", width.cast("bigint"))
-    placed = gaps.join(F.broadcast(sized), "regime")
+    widths = F.array(*[F.lit(width) for width in gap_widths()])
+    nearest = F.array_min(F.transform(widths, lambda width: F.struct(F.abs(width - target).alias("off"), width.alias("width"))))
+    sized = means.withColumn("width", nearest["width"].cast("bigint"))
+    placed = gaps.join(sized, "regime")
     bar = (F.floor(F.col("seconds") / F.col("width")) * F.col("width")).cast("bigint")
     counted = placed.groupBy("regime", bar.alias("from_second")).agg(F.count("*").alias("_n"))
     last_bar = (F.ceil(F.lit(4.0) * F.col("mean") / F.col("width")) - 1).cast("bigint")
@@ -265,17 +272,18 @@ def _with_largest_gap(table: DataFrame, expected: str) -> DataFrame:
     return table.withColumn("largest_gap", F.max(gap).over(W.partitionBy("regime")))
 
 
-def address_usage(sessions: DataFrame, operators: DataFrame) -> DataFrame:
+def address_usage(sessions: DataFrame, operators: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
     """Share of sessions by position of the source in the operator's address list beside its geometric weight."""
     listed = operators.select(
+        *by,
         "operator_id",
         F.size("usual_ips").alias("_size"),
         F.posexplode("usual_ips").alias("_position", "source_ip"),
     )
     used = (
-        sessions.groupBy("regime", "operator_id", "source_ip")
+        sessions.groupBy(*by, "regime", "operator_id", "source_ip")
         .agg(F.count("*").alias("_n"))
-        .join(listed, ["operator_id", "source_ip"])
+        .join(listed, [*by, "operator_id", "source_ip"])
     )
     weight = dist.geometric_weight(F.col("_position"), F.col("_size"), PRIMARY_ADDRESS_SHARE)
     counted = used.groupBy("regime", (F.col("_position") + 1).cast("bigint").alias("position")).agg(
@@ -286,16 +294,18 @@ def address_usage(sessions: DataFrame, operators: DataFrame) -> DataFrame:
     )
 
 
-def unseen_addresses(sources: DataFrame, windows: DataFrame, operators: DataFrame) -> DataFrame:
+def unseen_addresses(
+    sources: DataFrame, windows: DataFrame, operators: DataFrame, by: Sequence[str] = ("seed",)
+) -> DataFrame:
     """Usual addresses never seen in the warm-up, by position, beside the chance of that happening."""
     listed = operators.select(
-        "operator_id", F.size("usual_ips").alias("_size"), F.posexplode("usual_ips").alias("_position", "source_ip")
+        *by, "operator_id", F.size("usual_ips").alias("_size"), F.posexplode("usual_ips").alias("_position", "source_ip")
     )
-    seen = sources.select("operator_id", "source_ip", F.lit(1).alias("_seen"))
+    seen = sources.select(*by, "operator_id", "source_ip", F.lit(1).alias("_seen"))
     weight = dist.geometric_weight(F.col("_position"), F.col("_size"), PRIMARY_ADDRESS_SHARE)
     joined = (
-        listed.join(windows.select("operator_id", "session_count"), "operator_id")
-        .join(seen, ["operator_id", "source_ip"], "left")
+        listed.join(windows.select(*by, "operator_id", "session_count"), [*by, "operator_id"])
+        .join(seen, [*by, "operator_id", "source_ip"], "left")
         .select(
             (F.col("_position") + 1).cast("bigint").alias("position"),
             F.col("_seen").isNull().alias("_unseen"),
@@ -428,7 +438,6 @@ def threshold_histogram(
     )
     unit = F.col("attribute").isin(*counts) | (F.col("_low") == F.col("_high"))
     span = F.col("_high") - F.col("_low")
-    # One row per (replica, attribute) on both broadcast sides.
     shaped = (
         spans.join(thresholds.select(*key, "threshold"), key)
         .withColumn("_unit", unit)
@@ -438,7 +447,7 @@ def threshold_histogram(
     )
     place = F.floor((F.col("value") - F.col("_start")) / F.col("_width"))
     binned = (
-        values.join(F.broadcast(shaped), key)
+        values.join(shaped, key)
         .withColumn("bin", F.least(place, F.col("_bins") - 1))
         .groupBy(*key, "bin")
         .agg(
@@ -460,8 +469,7 @@ def share_above_threshold(sessions: DataFrame, thresholds: DataFrame, by: Sequen
     """Share of the clean warm-up that lies strictly above each threshold."""
     key = [*by, "attribute"]
     long = in_long_form(sessions, by, MAGNITUDE_ATTRIBUTES)
-    # One row per (replica, attribute) on the broadcast side.
-    joined = long.join(F.broadcast(thresholds.select(*key, "threshold")), key)
+    joined = long.join(thresholds.select(*key, "threshold"), key)
     return joined.groupBy(*key).agg(
         share(F.count_if(F.col("value") > F.col("threshold")), F.count("*")).alias("above_threshold")
     )

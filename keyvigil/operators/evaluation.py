@@ -119,13 +119,15 @@ def roc_curve(predictions: DataFrame, by: Sequence[str]) -> DataFrame:
     return points.unionByName(origin)
 
 
-def run_metrics(predictions: DataFrame, administrators: DataFrame, by: Sequence[str] = GRID_CELL) -> DataFrame:
+def run_metrics(
+    predictions: DataFrame, administrators: DataFrame, by: Sequence[str] = GRID_CELL, replica: Sequence[str] = ("seed",)
+) -> DataFrame:
     """One row per run, mechanism and scope: sizes, confusion, rounded rates and the AUC.
 
     The predictions are read once, down to counts per score; that table is stored and gives both the confusion and
     the AUC.
     """
-    counts = written(score_counts(in_scopes(predictions, administrators), by), "score-counts")
+    counts = written(score_counts(in_scopes(predictions, administrators, replica), by), "score-counts")
     counted = counts.groupBy(*by).agg(*[F.sum(name).alias(name) for name in ("sessions", "positives", *CELLS)])
     rated = counted.select("*", *rates.rate_columns())
     return rated.join(areas_of(counts, by), list(by), "left")

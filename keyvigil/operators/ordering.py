@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from keyvigil.session import written
 
-# A group known to have at most this many rows is numbered by a plain window; one task sorts it with ease.
-WINDOW_ROWS = 200_000
-HASH_DIGITS = 3
 VALUE_SLICES_PER_E_FOLD = 1000.0
 
 _SLICE, _BUCKET, _OFFSET = "_slice", "_bucket", "_offset"
@@ -33,25 +30,17 @@ def sliced(frame: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     return written(ranged.withColumn(_SLICE, F.spark_partition_id()), name)
 
 
-def fits_window(largest: int | None) -> bool:
-    return largest is not None and largest <= WINDOW_ROWS
-
-
 def numbered(
     frame: DataFrame,
     group: Sequence[str],
     order: Sequence[str],
     position: str = "position",
-    largest: int | None = None,
 ) -> DataFrame:
     """Row number from 1 within each group, in two passes: count the slices, then number inside them.
 
-    Both windows are small: the first has one row per (group, slice), the second one slice. A caller that has
-    measured its `largest` group gets one plain window when that is small, and the slices otherwise.
+    Both windows are small: the first has one row per (group, slice), the second one slice.
     """
     group = list(group)
-    if fits_window(largest):
-        return frame.withColumn(position, F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("bigint"))
     cut = sliced(frame, [*group, *order], "numbered")
     counts = cut.groupBy(*group, _SLICE).agg(F.count("*").alias("_rows"))
     earlier = W.partitionBy(*group).orderBy(_SLICE).rowsBetween(*_BEFORE)
@@ -85,7 +74,7 @@ def with_previous(
     for column in group:
         same_group = same_group & (F.col(f"_handed.{column}") == F.col(column))
     return (
-        cut.join(F.broadcast(handed), _SLICE, "left")
+        cut.join(handed, _SLICE, "left")
         .withColumn("_first", F.row_number().over(inside) == 1)
         .withColumn(
             previous,
@@ -97,35 +86,24 @@ def with_previous(
     )
 
 
-def largest_group(frame: DataFrame, group: Sequence[str]) -> int:
-    """Rows of the largest group. Meant for stored tables, where this reads a column or two."""
-    row = frame.groupBy(*group).agg(F.count("*").alias("_rows")).agg(F.max("_rows")).first()
-    return int(row[0] or 0)
-
-
 def hash_order(*parts: Column) -> Column:
     """A repeatable shuffle key that any SQL engine computes alike."""
     return F.md5(F.concat_ws("|", *[part.cast("string") for part in parts]))
 
 
 def ranked_by_hash(
-    frame: DataFrame,
-    group: Sequence[str],
-    key: str,
-    rank: str,
-    ties: Sequence[str] = (),
-    largest: int | None = None,
+    frame: DataFrame, group: Sequence[str], key: str, rank: str, ties: Sequence[str] = ()
 ) -> DataFrame:
     """Rank from 1 of a hash text within each group, without one task per group.
 
-    The leading digits of the hash cut a group into even buckets, whatever the data. Counts of the lower buckets give
-    the offset, a window inside the bucket the rest. Groups measured as small need no buckets.
+    The hash cuts a group into even buckets: its leading digits, read as a number below 2**32, fall into as many equal
+    ranges as the session has shuffle partitions, so the buckets grow in number with the cluster and the data. Counts of
+    the lower buckets give the offset, a window inside the bucket the rest.
     """
     group = list(group)
-    if fits_window(largest):
-        whole = W.partitionBy(*group).orderBy(key, *ties)
-        return frame.withColumn(rank, F.row_number().over(whole).cast("bigint"))
-    cut = frame.withColumn(_BUCKET, F.substring(key, 1, HASH_DIGITS))
+    pieces = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leading = F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint")
+    cut = frame.withColumn(_BUCKET, F.floor(leading * pieces / 2**32))
     counts = cut.groupBy(*group, _BUCKET).agg(F.count("*").alias("_rows"))
     earlier = W.partitionBy(*group).orderBy(_BUCKET).rowsBetween(*_BEFORE)
     offsets = counts.select(*group, _BUCKET, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias(_OFFSET))

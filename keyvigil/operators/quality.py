@@ -16,9 +16,9 @@ def _long(counts: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
-def log_invariants(log: DataFrame) -> DataFrame:
+def log_invariants(log: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
     """One operator and one source per session, from map-side minima and maxima instead of sets."""
-    per_session = log.groupBy("session_id").agg(
+    per_session = log.groupBy(*by, "session_id").agg(
         (F.min("operator_id") != F.max("operator_id")).alias("_operators"),
         (F.min("source_ip") != F.max("source_ip")).alias("_sources"),
     )
@@ -28,10 +28,10 @@ def log_invariants(log: DataFrame) -> DataFrame:
     return _long(counts, ["several_operators", "several_sources"])
 
 
-def session_invariants(sessions: DataFrame, log: DataFrame) -> DataFrame:
+def session_invariants(sessions: DataFrame, log: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
     """Openings equal the first event, shares are bounded, attributes are present and not negative."""
-    first = log.groupBy("session_id").agg(F.min("timestamp").alias("_first"))
-    joined = sessions.join(first, "session_id", "left")
+    first = log.groupBy(*by, "session_id").agg(F.min("timestamp").alias("_first"))
+    joined = sessions.join(first, [*by, "session_id"], "left")
     counts = joined.agg(
         F.count_if(F.col("_first").isNull() | (F.col("opened_at") != F.col("_first"))).alias("wrong_opening"),
         F.count_if((F.col("failures_per_event") > 1) | (F.col("failures_per_event") < 0)).alias("failure_share"),
@@ -42,21 +42,23 @@ def session_invariants(sessions: DataFrame, log: DataFrame) -> DataFrame:
     return _long(
         counts,
         ["wrong_opening", "failure_share", "more_denials_than_failures", "more_keys_than_events", "bad_pace"],
-    ).unionByName(log_invariants(log))
+    ).unionByName(log_invariants(log, by))
 
 
-def request_period_report(requests: DataFrame, operators: DataFrame, period: Period) -> DataFrame:
+def request_period_report(
+    requests: DataFrame, operators: DataFrame, period: Period, by: Sequence[str] = ("seed",)
+) -> DataFrame:
     """Operators without traffic, requests outside the period, sources that are not a usual address."""
-    silent = operators.join(requests.select("operator_id").distinct(), "operator_id", "left_anti").agg(
+    silent = operators.join(requests.select(*by, "operator_id").distinct(), [*by, "operator_id"], "left_anti").agg(
         F.count("*").alias("n")
     )
     inside = F.lit(False)
     for phase in ("warmup", "evaluated"):
         inside = inside | period.belongs_to(phase, F.col("timestamp"))
     outside = requests.agg(F.count_if(~inside).alias("n"))
-    usual = operators.select("operator_id", F.explode("usual_ips").alias("source_ip")).distinct()
-    used = requests.groupBy("operator_id", "source_ip").agg(F.count("*").alias("_n"))
-    foreign = used.join(usual, ["operator_id", "source_ip"], "left_anti").agg(
+    usual = operators.select(*by, "operator_id", F.explode("usual_ips").alias("source_ip")).distinct()
+    used = requests.groupBy(*by, "operator_id", "source_ip").agg(F.count("*").alias("_n"))
+    foreign = used.join(usual, [*by, "operator_id", "source_ip"], "left_anti").agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n")
     )
     parts = {"silent_operators": silent, "outside_period": outside, "foreign_sources": foreign}

@@ -22,19 +22,24 @@ from keyvigil.schemas import (
 
 
 def fires(attribute: str) -> Column:
-    """1 or 0. A magnitude rule fires strictly above its cutoff, a history rule on its flag."""
+    """1 or 0. A magnitude rule fires strictly above its cutoff, a history rule on its flag.
+
+    A rule without a cutoff, or about a value that is not known, doesn't fire.
+    """
     if attribute in MAGNITUDE_ATTRIBUTES:
-        return (F.col(attribute) > F.col(f"cutoff_{attribute}")).cast("int")
-    return (F.col(attribute) == HISTORY_RULE_FIRES_AT).cast("int")
+        fired = F.col(attribute) > F.col(f"cutoff_{attribute}")
+    else:
+        fired = F.col(attribute) == HISTORY_RULE_FIRES_AT
+    return F.coalesce(fired, F.lit(False)).cast("int")
 
 
 def with_rules(sessions: DataFrame, thresholds: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
-    """Sessions with their eight flags, the count and the decision.
+    """Sessions with their eight flags, the count and the decision. Every session gets one.
 
-    The cutoffs are one row per replica, and replicas are a short fixed list, so that side is broadcast and the
-    sessions do not move.
+    A replica without thresholds keeps its sessions; its magnitude rules don't fire. Where that is an error,
+    `calibration.require_thresholds_of` says so.
     """
-    joined = sessions.join(F.broadcast(cutoffs(thresholds, by)), list(by))
+    joined = sessions.join(cutoffs(thresholds, by), list(by), "left")
     flags = joined.select("*", *[fires(name).alias(f"rule_{name}") for name in ATTRIBUTES])
     fired = F.lit(0)
     for column in RULE_COLUMNS:
@@ -46,11 +51,16 @@ def with_rules(sessions: DataFrame, thresholds: DataFrame, by: Sequence[str] = (
     )
 
 
-def rule_predictions(holdout: DataFrame, thresholds: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
-    """Why each session did or did not raise an alert. The label is carried along and not read."""
+def rule_predictions(
+    holdout: DataFrame, thresholds: DataFrame, by: Sequence[str] = ("seed",), run: Sequence[str] | None = None
+) -> DataFrame:
+    """Why each session did or did not raise an alert. The label is carried along and not read.
+
+    Thresholds belong to a replica (`by`), sessions to a run (`run`, the same if not given).
+    """
     require_label(holdout)
     scored = with_rules(holdout, thresholds, by)
-    return scored.select(*by, *IDENTIFIERS, *RULE_COLUMNS, "rules_fired", "predicted", LABEL)
+    return scored.select(*(run or by), *IDENTIFIERS, *RULE_COLUMNS, "rules_fired", "predicted", LABEL)
 
 
 def rule_catalogue(thresholds: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:

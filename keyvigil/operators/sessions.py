@@ -125,17 +125,20 @@ def window_width_hours(profile: DataFrame) -> DataFrame:
 def with_history(
     sessions: DataFrame, windows: DataFrame, sources: DataFrame, by: Sequence[str] = ("seed",)
 ) -> DataFrame:
-    """`atypical_hour` and `new_source_ip` against the profile; both stay NULL for an operator without one."""
+    """`atypical_hour` and `new_source_ip` against the profile.
+
+    An operator without a profile has no usual hour and no usual source, so both are 1: nothing of a stranger is
+    typical, and every session gets a decision. Where strangers are an error, `require_profiles` says so.
+    """
     usual = windows.select(*by, "operator_id", "window_opens_at", "window_closes_at")
     seen = sources.select(*by, "operator_id", "source_ip", F.lit(1).alias("_seen"))
     hour = clock(F.col("opened_at"))
     inside = (hour >= F.col("window_opens_at")) & (hour <= F.col("window_closes_at"))
-    known = F.col("window_opens_at").isNotNull()
     return (
         sessions.join(usual, [*by, "operator_id"], "left")
         .join(seen, [*by, "operator_id", "source_ip"], "left")
-        .withColumn("atypical_hour", (~inside).cast("int"))
-        .withColumn("new_source_ip", F.when(known, F.col("_seen").isNull().cast("int")))
+        .withColumn("atypical_hour", F.coalesce((~inside).cast("int"), F.lit(1)))
+        .withColumn("new_source_ip", F.col("_seen").isNull().cast("int"))
         .drop("window_opens_at", "window_closes_at", "_seen")
     )
 
@@ -156,7 +159,7 @@ def require_profiles(sessions: DataFrame, windows: DataFrame, by: Sequence[str]
         raise KeyError(f"operator {missing[0][0]!r} has sessions but no profile from the warm-up")
 
 
-def with_label(sessions: DataFrame, compromised: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def with_label(sessions: DataFrame, compromised: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
     """1 where the session is in the label table, else 0."""
     marks = compromised.select(*by, "session_id").distinct().withColumn("_mark", F.lit(1))
     return (
@@ -194,5 +197,5 @@ def session_table(
         raise ValueError("the warm-up has no compromised sessions, a label table does not belong there")
     built = with_history(with_rates(per_session(log, by)), windows, sources, by)
     if compromised is not None:
-        built = with_label(built, compromised)
+        built = with_label(built, compromised, by)
     return built.select(*by, *columns)

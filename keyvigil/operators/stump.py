@@ -48,7 +48,6 @@ def best_cuts(train: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
             half_even(_gini(left_positives, left_rows) + _gini(right_positives, right_rows), 9).alias("impurity"),
             F.array_position(order, F.col("attribute")).alias("place"),
             ((F.col("value") + F.col("next_value")) / F.lit(2.0)).alias("threshold"),
-            F.col("attribute").alias("attribute"),
             (left_positives * 2 > left_rows).cast("int").alias("below"),
             (right_positives * 2 > right_rows).cast("int").alias("above"),
         ).alias("cut"),
@@ -60,11 +59,10 @@ def decision_stump(table: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame
     """The cut learnt on the training side and its F1 on the holdout, 0 for every row where no cut exists."""
     by = list(by)
     cuts = best_cuts(table.where(F.col("side") == "train"), by)
-    # One row per run of the grid.
-    joined = table.where(F.col("side") == "holdout").join(F.broadcast(cuts), by, "left")
+    joined = table.where(F.col("side") == "holdout").join(cuts, by, "left")
     chosen = F.lit(None).cast("double")
-    for name in ATTRIBUTES:
-        chosen = F.when(F.col("cut.attribute") == name, F.col(name).cast("double")).otherwise(chosen)
+    for place, name in enumerate(ATTRIBUTES, 1):
+        chosen = F.when(F.col("cut.place") == place, F.col(name).cast("double")).otherwise(chosen)
     decided = F.when(chosen <= F.col("cut.threshold"), F.col("cut.below")).when(
         chosen > F.col("cut.threshold"), F.col("cut.above")
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property, wraps
+from functools import cached_property, reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,7 +33,7 @@ from keyvigil.plans.pipeline import Pipeline
 from keyvigil.schemas import ATTRIBUTES, IDENTIFIERS, LABEL, RULE_COLUMNS, RULES
 from keyvigil.session import new_folder, written
 from keyvigil.sources import tables
-from keyvigil.sources.adapter import KEY_NUMBERS, PERIOD, SCOPE_COUNT, SIGMAS, STAND_INS, Adapter
+from keyvigil.sources.adapter import PERIOD, SIGMAS, STAND_INS, Adapter
 from keyvigil.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,8 @@ class Context(Adapter):
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__(spark, sf_dir)
         self.audit = Pipeline(self.log, self.compromised)
+        # The same over every (seed, sigma).
+        self.grid = Pipeline(self.grid_log, self.grid_compromised, run=("seed", "sigma"))
         # One consumer only: nothing is gained from storing the sessions.
         self.direct = Pipeline(self.log, self.compromised, store=False)
 
@@ -112,10 +114,33 @@ def a2(c: Context) -> DataFrame:
     )
 
 
+@query("a1_operators_both_layouts")
+def a1(c: Context) -> DataFrame:
+    """The operator table through both layouts and back: rows that come back from CSV and from Parquet."""
+    root = new_folder(c.spark, "layouts")
+    table = c.operators.select("operator_id", "profile", "scopes", "regime", "usual_ips")
+    read = []
+    for layout in ("csv", "parquet"):
+        tables.write_table(table, root, "operators", layout)
+        read.append(tables.read_all(c.spark, root, ["operators"], layout)["operators"].withColumn("layout", F.lit(layout)))
+    both = read[0].unionByName(read[1])
+    return both.select("layout", "operator_id", "profile", "regime", F.array_join("usual_ips", "|").alias("usual_ips"),
+                       F.array_join(F.array_sort("scopes"), "|").alias("scopes"))
+
+
+@query("a2_one_run")
+def a2_run(c: Context) -> DataFrame:
+    """One condition of the stored grid: the filter on a folder name reads only its files."""
+    root = new_folder(c.spark, "grid")
+    tables.write_table(c.predictions, root, "predictions", partitioned_by=tables.GRID)
+    read = c.spark.read.schema(c.predictions.schema).parquet(tables.table_path(root, "predictions"))
+    return tables.of_run(read, 3, 0.5).select("session_id", "mechanism", "predicted")
+
+
 @query("a5_runs_index")
 def a5(c: Context) -> DataFrame:
     owners = (
-        c.requests.join(c.compromised, "session_id", "left_semi")
+        c.requests.join(c.compromised, ["seed", "session_id"], "left_semi")
         .groupBy("seed")
         .agg(F.min("operator_id").alias("compromised_admin"))
     )
@@ -214,8 +239,7 @@ def b11(c: Context) -> DataFrame:
 
 @query("c1_audit_log")
 def c1(c: Context) -> DataFrame:
-    stored = policy.outcomes(c.requests, c.keys, c.grants, key_bound=KEY_NUMBERS)
-    log = policy.audit_log(c.requests, stored, PERIOD, EVALUATED)
+    log = policy.phase_log(c.requests, c.keys, c.grants, PERIOD, EVALUATED, ("seed",), ())
     return log.select(
         "event_id", "session_id", "operator_id", iso(F.col("timestamp")).alias("timestamp"), "source_ip", "operation",
         "key_id", "outcome",
@@ -224,7 +248,28 @@ def c1(c: Context) -> DataFrame:
 
 @query("c2_outcomes")
 def c2(c: Context) -> DataFrame:
-    return policy.outcomes(c.requests, c.keys, c.grants, key_bound=KEY_NUMBERS)
+    decided = policy.outcomes(c.requests, c.keys, c.grants, ("seed",), ())
+    return decided.select("event_id", "outcome")
+
+
+@query("c3_unknown_operators")
+def c3(c: Context) -> DataFrame:
+    """Requests for an existing key that nobody of the end users' table could have made: the other profiles' ones."""
+    users = c.operators.where(F.col("profile") == "end_user")
+    return policy.unknown_operators(c.requests, users, c.keys, ("seed",), ()).select("event_id", "operator_id")
+
+
+@query("b4_columns")
+def b4(c: Context) -> DataFrame:
+    """Columns of each phase's table in order, with how many of its cells are empty."""
+    tables_ = {WARMUP: c.audit.warmup_sessions, EVALUATED: c.audit.evaluated}
+    parts = []
+    for phase, table in tables_.items():
+        names = sessions.columns_of(phase)
+        counts = table.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in names])
+        entries = [F.struct(F.lit(i).cast("bigint").alias("place"), F.lit(n).alias("column"), F.col(n).alias("empty")) for i, n in enumerate(names)]
+        parts.append(counts.select(F.lit(phase).alias("phase"), F.inline(F.array(*entries))))
+    return parts[0].unionByName(parts[1])
 
 
 @query("c4_history_attributes")
@@ -257,17 +302,22 @@ def c8(c: Context) -> DataFrame:
 
 @query("c9_reach")
 def c9(c: Context) -> DataFrame:
-    return policy.reach_counts(c.grants, c.keys, key_bound=KEY_NUMBERS)
+    return policy.reach_counts(c.grants, c.keys, ("seed",), ()).drop("seed")
 
 
 @query("c9_keys_out_of_reach")
 def c9_out(c: Context) -> DataFrame:
-    return policy.out_of_reach(c.operators, c.keys, key_bound=KEY_NUMBERS)
+    return policy.out_of_reach(c.operators, c.keys)
+
+
+@query("c9_scopes_out_of_reach")
+def c9_scopes(c: Context) -> DataFrame:
+    return policy.scopes_out_of_reach(c.operators, c.keys)
 
 
 @query("c10_scope_holders")
 def c10(c: Context) -> DataFrame:
-    return policy.holders_by_scope(c.grants, scope_bound=SCOPE_COUNT)
+    return policy.holders_by_scope(c.grants)
 
 
 @query("c10_uncovered_scopes")
@@ -524,7 +574,7 @@ def d36(c: Context) -> DataFrame:
 
 @query("d37_importance_medians")
 def d37(c: Context) -> DataFrame:
-    drops = importance.rule_importance(c.audit.holdout, c.audit.thresholds, largest=c.audit.largest_replica)
+    drops = importance.rule_importance(c.audit.holdout, c.audit.thresholds)
     return importance.median_drops(drops, [RULES]).select(
         "attribute", six(RULES), F.col("place").cast("bigint").alias("place")
     )
@@ -560,7 +610,7 @@ def d42(c: Context) -> DataFrame:
 
 @query("e1_stable_order")
 def e1(c: Context) -> DataFrame:
-    placed = partition.with_ties(partition.in_stable_order(c.audit.evaluated, largest=c.audit.largest_replica))
+    placed = partition.with_ties(partition.in_stable_order(c.audit.evaluated))
     return placed.select("seed", LABEL, "session_id", "position", "tie")
 
 
@@ -623,7 +673,7 @@ def e7(c: Context) -> DataFrame:
 
 @query("e8_most_important")
 def e8(c: Context) -> DataFrame:
-    drops = importance.rule_importance(c.audit.holdout, c.audit.thresholds, largest=c.audit.largest_replica)
+    drops = importance.rule_importance(c.audit.holdout, c.audit.thresholds)
     return importance.most_important(drops).select("mechanism", "attribute", six("median_drop"))
 
 
@@ -696,18 +746,18 @@ def f4(c: Context) -> DataFrame:
 @query("f5_operators_of_both_phases")
 def f5(c: Context) -> DataFrame:
     moment = F.col("timestamp")
-    before = c.requests.where(PERIOD.belongs_to(WARMUP, moment)).select("operator_id")
-    after = c.requests.where(PERIOD.belongs_to(EVALUATED, moment)).select("operator_id")
-    return before.intersect(after)
+    before = c.requests.where(PERIOD.belongs_to(WARMUP, moment)).select("operator_id").distinct()
+    after = c.requests.where(PERIOD.belongs_to(EVALUATED, moment)).select("operator_id").distinct()
+    return before.join(after, "operator_id", "left_semi")
 
 
 @query("f6_keys_not_evaluated")
 def f6(c: Context) -> DataFrame:
     """Pairs an operator asked for in the warm-up and never again."""
     moment = F.col("timestamp")
-    before = c.requests.where(PERIOD.belongs_to(WARMUP, moment)).select("operator_id", "key_id")
-    after = c.requests.where(PERIOD.belongs_to(EVALUATED, moment)).select("operator_id", "key_id")
-    return before.subtract(after)
+    before = c.requests.where(PERIOD.belongs_to(WARMUP, moment)).select("operator_id", "key_id").distinct()
+    after = c.requests.where(PERIOD.belongs_to(EVALUATED, moment)).select("operator_id", "key_id").distinct()
+    return before.join(after, ["operator_id", "key_id"], "left_anti")
 
 
 @query("f7_threshold_set")
@@ -817,6 +867,39 @@ def h3(c: Context) -> DataFrame:
     return shown(c.audit.alerts)
 
 
+@query("h3_grid_alerts")
+def h3_grid(c: Context) -> DataFrame:
+    """Alerts of every run: thresholds and profiles of the seed, sessions and labels of (seed, sigma)."""
+    return shown(c.grid.alerts).select("seed", "sigma", "session_id", "opened_at", *RULE_COLUMNS, "rules_fired", "predicted", LABEL)
+
+
+@query("e3_grid_holdout")
+def e3_grid(c: Context) -> DataFrame:
+    return c.grid.split.select("seed", "sigma", LABEL, "session_id", "position", "side")
+
+
+@query("h1_cells_add_up")
+def h1_cells(c: Context) -> DataFrame:
+    """Sessions of each run, and how many of them a cell of the confusion table counts: the same."""
+    sessions_of = c.grid.evaluated.groupBy("seed", "sigma").agg(F.count("*").alias("sessions"))
+    cells = evaluation.confusion_counts(c.grid.alerts, ("seed", "sigma"))
+    counted = sum((F.col(cell) for cell in rates.CELLS[1:]), F.col(rates.CELLS[0]))
+    return sessions_of.join(cells.select("seed", "sigma", counted.alias("in_cells")), ["seed", "sigma"], "left")
+
+
+@query("b5_guards")
+def b5(c: Context) -> DataFrame:
+    """What the guards of the audit job look at, as counts: all must be 0 for the job to be whole."""
+    found = {
+        "operators_without_profile": sessions.operators_without_profile(c.audit.evaluated, c.audit.windows).select("operator_id"),
+        "replicas_without_thresholds": calibration.replicas_without_thresholds(c.audit.evaluated, c.audit.thresholds),
+        "wrong_thresholds": calibration.threshold_set_differences(c.audit.thresholds),
+        "unknown_operators": policy.unknown_operators(c.requests, c.operators, c.keys, ("seed",), ()),
+    }
+    rows = [t.agg(F.count("*").alias("violations")).select(F.lit(n).alias("guard"), "violations") for n, t in found.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("h3_holdout_alerts")
 def h3_holdout(c: Context) -> DataFrame:
     return shown(c.audit.holdout_alerts)
@@ -846,7 +929,7 @@ def h6(c: Context) -> DataFrame:
 
 @query("h7_folds")
 def h7(c: Context) -> DataFrame:
-    placed = partition.folds(c.audit.train, largest=c.audit.largest_replica)
+    placed = partition.folds(c.audit.train)
     return placed.select("seed", LABEL, "session_id", "repeat", "fold")
 
 
@@ -877,7 +960,7 @@ def h10(c: Context) -> DataFrame:
 @query("h11_permutations")
 def h11(c: Context) -> DataFrame:
     placed = importance.in_file_order(
-        c.audit.holdout.select("seed", "session_id"), largest=c.audit.largest_replica
+        c.audit.holdout.select("seed", "session_id")
     )
     moved = importance.shuffled_values(placed, ["position"] * len(ATTRIBUTES))
     return moved.withColumnRenamed("swapped", "from_position")
@@ -885,7 +968,7 @@ def h11(c: Context) -> DataFrame:
 
 @query("h12_rule_importance")
 def h12(c: Context) -> DataFrame:
-    return importance.rule_importance(c.audit.holdout, c.audit.thresholds, largest=c.audit.largest_replica)
+    return importance.rule_importance(c.audit.holdout, c.audit.thresholds)
 
 
 @query("h12_forest_importance")
@@ -898,7 +981,6 @@ def h12_forest(c: Context) -> DataFrame:
         c.audit.holdout,
         lambda rows: learning.scored(model, rows),
         learning.FOREST,
-        largest=c.audit.largest_replica,
     )
 
 
@@ -945,7 +1027,7 @@ def h15(c: Context) -> DataFrame:
 def _streamed_log(c: Context, closing: bool) -> DataFrame:
     folder = jobs.stage(c.requests, "requests", closing)
     stream = jobs.request_stream(c.spark, folder, c.requests.schema)
-    return jobs.streaming_decisions(stream, c.keys, c.grants, key_bound=KEY_NUMBERS)
+    return jobs.streaming_decisions(stream, c.keys, c.grants, ("seed",), ())
 
 
 @query("s1_streaming_outcomes")

@@ -9,6 +9,8 @@ import re
 
 from keyvigil.schemas import ATTRIBUTES, DECLARED_MIX, MAGNITUDE_ATTRIBUTES, OPERATIONS
 
+_IDENTIFIERS = ("session_id", "operator_id", "opened_at")
+
 CTES: dict[str, str] = {}
 
 CTES["k_events"] = """
@@ -124,6 +126,9 @@ SELECT r.*,
            AS atypical_hour,
        CAST(NOT list_contains(string_split(p.observed_ips, '|'), r.source_ip) AS INTEGER) AS new_source_ip
 FROM {0} r LEFT JOIN o_profiles p ON r.seed = p.seed AND r.operator_id = p.operator_id"""
+# A stranger has no usual hour and no usual source.
+_HISTORY = _HISTORY.replace("CAST(NOT (", "CAST(coalesce(NOT (").replace("p.window_closes_at) AS INTEGER)", "p.window_closes_at), true) AS INTEGER)")
+_HISTORY = _HISTORY.replace("CAST(NOT list_contains(", "CAST(coalesce(NOT list_contains(").replace("r.source_ip) AS INTEGER)", "r.source_ip), true) AS INTEGER)")
 CTES["o_sessions"] = _HISTORY.format("o_rated")
 CTES["o_whole_sessions"] = _HISTORY.format("o_whole_rated")
 CTES["o_eval"] = """
@@ -162,6 +167,23 @@ def _flags(source: str) -> str:
 
 CTES["o_alerts"] = _flags("o_eval")
 CTES["o_whole_alerts"] = _flags("o_whole_sessions")
+CTES["g_log"] = """
+SELECT l.*, c.sigma FROM a_log l LEFT JOIN a_labels b ON l.session_id = b.session_id
+CROSS JOIN (SELECT unnest([0.0E0, 0.5E0, 1.0E0]) AS sigma) c
+WHERE l.phase = 'evaluated' AND (b.session_id IS NULL OR CAST(substr(l.event_id, 7, 9) AS BIGINT) % 4 >= 2 * c.sigma)"""
+CTES["g_base"] = CTES["o_base"].replace("SELECT seed, phase", "SELECT seed, sigma").replace(
+    "FROM a_log WHERE phase IS NOT NULL GROUP BY seed, phase", "FROM g_log GROUP BY seed, sigma")
+CTES["g_rated"] = _RATED.format("g_base")
+CTES["g_sessions"] = _HISTORY.format("g_rated")
+CTES["g_eval"] = """
+SELECT s.*, CASE WHEN b.session_id IS NULL THEN 0 ELSE 1 END AS compromised
+FROM g_sessions s LEFT JOIN a_labels b ON s.session_id = b.session_id"""
+CTES["g_alerts"] = _flags("g_eval")
+CTES["g_split"] = """
+SELECT *, CASE WHEN row_number() OVER (PARTITION BY seed, sigma, compromised ORDER BY md5(concat_ws('|', CAST(seed AS STRING),
+       CAST(compromised AS STRING), CAST(position AS STRING)))) <= holdout THEN 'holdout' ELSE 'train' END AS side
+FROM (SELECT *, row_number() OVER (PARTITION BY seed, sigma, compromised ORDER BY opened_at, operator_id, session_id) AS position,
+       CAST(floor(count(*) OVER (PARTITION BY seed, sigma, compromised) * 0.4E0 + 0.5E0) AS BIGINT) AS holdout FROM g_alerts)"""
 CTES["o_placed"] = """
 SELECT *, row_number() OVER (PARTITION BY seed, compromised ORDER BY opened_at, operator_id, session_id) AS position,
        row_number() OVER (PARTITION BY seed, compromised, operator_id, opened_at ORDER BY session_id) - 1 AS tie,
@@ -235,7 +257,7 @@ FROM o_metrics m JOIN o_metrics r ON m.seed = r.seed AND m.sigma = r.sigma AND m
 WHERE m.scope = 'all' AND m.mechanism <> 'rules' AND r.mechanism = 'rules' AND m.f1 - r.f1 IS NOT NULL"""
 
 # Signed ranks: average ranks of the absolute differences, then the exact law from a recursive count of rank sums, or
-# the normal law with the tie term. The normal tail uses erf(x) = 2/sqrt(pi) exp(-x^2) sum 2^k x^(2k+1) / (2k+1)!!.
+# the normal law with the tie term.
 CTES["o_ranked"] = """
 SELECT sigma, model, difference, rank() OVER (PARTITION BY sigma, model ORDER BY abs(difference))
        + (count(*) OVER (PARTITION BY sigma, model, abs(difference)) - 1) / 2.0E0 AS r,
@@ -265,8 +287,10 @@ SELECT t.sigma, t.model, t.pairs,
             WHEN t.n <= 50 AND t.n = t.pairs AND t.tie_term = 0 THEN
               least(1.0E0, 2 * (SELECT sum(c) FROM o_subset_sums q WHERE q.n = t.n AND q.s <= t.w) / pow(2.0E0, t.n))
             WHEN x = 0 THEN 1.0E0
-            ELSE greatest(0.0E0, 1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 121),
-                 lambda k: exp((2 * k + 1) * ln(x) - ln(2.0E0) - lgamma(k + 1.5E0) + 0.5E0 * ln(pi()))))) END AS p_value
+            -- The tail integral over the density, by Simpson's rule on 4,000 steps.
+            ELSE 2 / sqrt(2 * pi()) * exp(-x * x) * 0.01E0 / 3 * list_sum(list_transform(range(0, 4001),
+                 lambda k: (CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
+                   * exp(-x * sqrt(2.0E0) * k * 0.01E0 - (k * 0.01E0) * (k * 0.01E0) / 2))) END AS p_value
 FROM (SELECT *, abs(w - n * (n + 1) / 4.0E0) / nullif(sqrt(n * (n + 1.0E0) * (2 * n + 1) / 24 - tie_term / 48), 0)
                 / sqrt(2.0E0) AS x FROM o_rank_sums) t"""
 
@@ -390,7 +414,7 @@ FROM (SELECT mechanism, sigma, repeat, fold, coalesce({_F1}, 0) AS f1
             GROUP BY mechanism, sigma, repeat, fold))
 GROUP BY mechanism, sigma"""
 
-_NAMES = re.compile(r"\b([ako]_[a-z0-9_]+)\b")
+_NAMES = re.compile(r"\b([akog]_[a-z0-9_]+)\b")
 
 
 def _needed(body: str, found: set[str]) -> set[str]:
@@ -428,7 +452,7 @@ IDS = f"session_id, operator_id, {OPENED}"
 ATTR = ", ".join(ATTRIBUTES)
 FLAGS = ", ".join(f"rule_{a}" for a in ATTRIBUTES)
 _DECLARED = ", ".join(
-    f"('{profile}', '{op}', {mix[i]!r}E0)" for profile, mix in DECLARED_MIX.items() for i, op in enumerate(OPERATIONS)
+    f"('{profile}', '{op}', {mix[op]!r}E0)" for profile, mix in DECLARED_MIX.items() for op in OPERATIONS
 )
 
 
@@ -446,6 +470,41 @@ _LOGFACT = "lgamma({0} + 1.0E0)"
 BODIES: dict[str, str] = {
     "a2_runs_of_grid": """SELECT seed, sigma, mechanism, count(*) AS sessions, CAST(sum(predicted) AS BIGINT) AS alerts
         FROM a_predictions GROUP BY seed, sigma, mechanism""",
+    "a1_operators_both_layouts": """SELECT l.layout, o.operator_id, o.profile, o.regime, a.usual_ips, g.scopes
+        FROM a_operators o
+        JOIN (SELECT operator_id, string_agg(source_ip, '|' ORDER BY position) AS usual_ips FROM a_addresses GROUP BY 1) a
+          ON o.operator_id = a.operator_id
+        JOIN (SELECT operator_id, string_agg(scope, '|' ORDER BY scope) AS scopes FROM a_grants GROUP BY 1) g
+          ON o.operator_id = g.operator_id
+        CROSS JOIN (SELECT unnest(['csv', 'parquet']) AS layout) l""",
+    "a2_one_run": "SELECT session_id, mechanism, predicted FROM a_predictions WHERE seed = 3 AND sigma = 0.5",
+    "b4_columns": " UNION ALL ".join(
+        f"SELECT '{phase}' AS phase, CAST({place} AS BIGINT) AS place, '{name}' AS \"column\", count(*) FILTER ({name} IS NULL) "
+        f"AS empty FROM {source}"
+        for phase, source, names in (
+            ("warmup", "(SELECT * FROM o_sessions WHERE phase = 'warmup')", (*_IDENTIFIERS, *ATTRIBUTES)),
+            ("evaluated", "o_eval", (*_IDENTIFIERS, *ATTRIBUTES, "compromised")),
+        )
+        for place, name in enumerate(names)
+    ),
+    "b5_guards": """SELECT 'operators_without_profile' AS guard, count(*) AS violations FROM o_eval e
+          WHERE NOT EXISTS (SELECT 1 FROM o_profiles p WHERE p.seed = e.seed AND p.operator_id = e.operator_id)
+        UNION ALL SELECT 'replicas_without_thresholds', count(*) FROM (SELECT DISTINCT seed FROM o_eval) e
+          WHERE (SELECT count(*) FROM o_thresholds t WHERE t.seed = e.seed) <> 6
+        UNION ALL SELECT 'wrong_thresholds', 6 - count(DISTINCT attribute) FROM o_thresholds
+        UNION ALL SELECT 'unknown_operators', count(*) FROM a_requests r WHERE r.key_id IN (SELECT key_id FROM a_keys)
+          AND NOT EXISTS (SELECT 1 FROM a_operators o WHERE o.seed = r.seed AND o.operator_id = r.operator_id)""",
+    "c3_unknown_operators": """SELECT event_id, operator_id FROM a_requests WHERE key_id IN (SELECT key_id FROM a_keys)
+        AND operator_id NOT IN (SELECT operator_id FROM a_operators WHERE profile = 'end_user')""",
+    "c9_scopes_out_of_reach": """SELECT o.operator_id, s.scope, s.keys
+        FROM a_operators o CROSS JOIN (SELECT scope, count(*) AS keys FROM a_keys GROUP BY scope) s
+        WHERE NOT EXISTS (SELECT 1 FROM a_grants g WHERE g.operator_id = o.operator_id AND g.scope = s.scope)""",
+    "e3_grid_holdout": "SELECT seed, sigma, compromised, session_id, position, side FROM g_split",
+    "h1_cells_add_up": f"""SELECT seed, sigma, count(*) AS sessions, true_positives + false_positives + true_negatives
+          + false_negatives AS in_cells FROM g_eval JOIN (SELECT seed, sigma, {_confusion()} FROM g_alerts GROUP BY seed, sigma)
+        USING (seed, sigma) GROUP BY ALL""",
+    "h3_grid_alerts": f"""SELECT seed, sigma, session_id, {OPENED}, {', '.join('rule_' + a for a in ATTRIBUTES)}, rules_fired,
+        predicted, compromised FROM g_alerts""",
     "a5_runs_index": """SELECT r.seed, s.sigma, min(r.operator_id) AS compromised_admin
         FROM a_requests r JOIN a_labels b ON r.session_id = b.session_id
         CROSS JOIN (SELECT unnest([0.0E0, 0.5E0, 1.0E0]) AS sigma) s GROUP BY r.seed, s.sigma""",
@@ -772,7 +831,8 @@ BODIES: dict[str, str] = {
         means AS (SELECT regime, CAST(sum(us) AS DOUBLE) / count(*) / 1E6 AS mean, count(*) AS total FROM gaps
           GROUP BY regime),
         sized AS (SELECT m.*, (SELECT arg_min(w, (abs(w - 4.0E0 * m.mean / 20), w)) FROM
-          (SELECT unnest([1, 2, 5, 10, 20, 30, 60]) AS w)) AS width FROM means m),
+          (SELECT unnest([1, 2, 5, 10, 20, 30, 60]) AS w UNION ALL
+          SELECT CAST(60 * s * pow(10, k) AS BIGINT) FROM (SELECT unnest([2, 5, 10]) AS s), (SELECT unnest(range(0, 9)) AS k))) AS width FROM means m),
         bars AS (SELECT regime, mean, total, width, unnest(range(0, CAST(ceil(4.0E0 * mean / width) AS BIGINT))) * width
           AS from_second FROM sized),
         counted AS (SELECT g.regime, CAST(floor(g.us / 1E6 / s.width) * s.width AS BIGINT) AS from_second, count(*) AS n

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,6 @@ from pyspark.sql import functions as F
 
 from keyvigil.functions.calendar import EVALUATED, WARMUP
 from keyvigil.operators import calibration, partition, rules, sessions
-from keyvigil.operators.ordering import largest_group
 from keyvigil.schemas import ATTRIBUTES, IDENTIFIERS, LABEL
 from keyvigil.session import written
 
@@ -17,11 +17,19 @@ from keyvigil.session import written
 class Pipeline:
     """Stages of one audit over a log with `seed` and `phase`, each lazy and built once.
 
+    `run` names the columns of a run. The warm-up belongs to the replica (`seed`) alone; the evaluated sessions, their labels,
+    the split and the alerts belong to the run, as a campaign differs with sigma. With ("seed", "sigma") the log carries
+    sigma in the evaluated phase (and NULL in the warm-up), and the whole grid is this one job.
+
+    `check()` runs the guards: it raises where a stage would have to decide about sessions without a profile, a label
+    table or thresholds.
+
     With `store=True` the per-session aggregate is written as a table after the one pass over the log; profiles,
     thresholds and the evaluated sessions all read that table, so a large log is scanned and shuffled once.
     """
 
-    def __init__(self, log: DataFrame, compromised: DataFrame, store: bool = True):
+    def __init__(self, log: DataFrame, compromised: DataFrame, store: bool = True, run: Sequence[str] = ("seed",)):
+        self.run = tuple(run)
         self.log = log
         self.compromised = compromised
         self.store = store
@@ -29,11 +37,12 @@ class Pipeline:
     @cached_property
     def counted(self) -> DataFrame:
         of_phases = self.log.where(F.col("phase").isNotNull())
-        grouped = sessions.per_session(of_phases, ("seed", "phase"))
+        grouped = sessions.per_session(of_phases, (*self.run, "phase"))
         return written(grouped, "sessions", partitioned_by=("phase",)) if self.store else grouped
 
     def _phase(self, name: str) -> DataFrame:
-        return self.counted.where(F.col("phase") == name).drop("phase")
+        of_phase = self.counted.where(F.col("phase") == name).drop("phase")
+        return of_phase.drop(*[column for column in self.run if column != "seed"]) if name == WARMUP else of_phase
 
     @cached_property
     def warmup(self) -> DataFrame:
@@ -65,21 +74,16 @@ class Pipeline:
     def evaluated(self) -> DataFrame:
         rated = sessions.with_rates(self._phase(EVALUATED))
         full = sessions.with_history(rated, self.windows, self.sources)
-        return sessions.with_label(full, self.compromised).select("seed", *IDENTIFIERS, *ATTRIBUTES, LABEL)
+        return sessions.with_label(full, self.compromised, self.run).select(*self.run, *IDENTIFIERS, *ATTRIBUTES, LABEL)
 
     @cached_property
     def alerts(self) -> DataFrame:
         """Every evaluated session with its flags and decision."""
-        return rules.rule_predictions(self.evaluated, self.thresholds)
+        return rules.rule_predictions(self.evaluated, self.thresholds, run=self.run)
 
     @cached_property
     def split(self) -> DataFrame:
-        return partition.written_split(self.evaluated, largest=self.largest_replica)
-
-    @cached_property
-    def largest_replica(self) -> int | None:
-        """Sessions of the largest replica in one phase, measured on the stored sessions; unknown when not stored."""
-        return largest_group(self.counted, ("seed", "phase")) if self.store else None
+        return partition.written_split(self.evaluated, self.run)
 
     @cached_property
     def holdout(self) -> DataFrame:
@@ -91,4 +95,11 @@ class Pipeline:
 
     @cached_property
     def holdout_alerts(self) -> DataFrame:
-        return rules.rule_predictions(self.holdout, self.thresholds)
+        return rules.rule_predictions(self.holdout, self.thresholds, run=self.run)
+
+    def check(self) -> Pipeline:
+        """Raises on an operator without a profile and on a replica without thresholds; else returns the job itself."""
+        calibration.require_threshold_set(self.thresholds)
+        calibration.require_thresholds_of(self.evaluated, self.thresholds)
+        sessions.require_profiles(self.evaluated, self.windows)
+        return self

@@ -51,11 +51,11 @@ SCOPES = (ALL_SESSIONS, ADMINISTRATORS)
 REGIMES = ("periodic_batch", "routine", "occasional_custody")
 OPERATIONS = ("Decrypt", "Encrypt", "DescribeKey", "ExportKeyMaterial")
 
-# Declared operation mix per profile, in the order of OPERATIONS.
+# Declared operation mix per profile.
 DECLARED_MIX = {
-    "end_user": (0.55, 0.25, 0.12, 0.08),
-    "automated_service": (0.45, 0.35, 0.10, 0.10),
-    "administrator": (0.35, 0.15, 0.30, 0.20),
+    "end_user": {"Decrypt": 0.55, "Encrypt": 0.25, "DescribeKey": 0.12, "ExportKeyMaterial": 0.08},
+    "automated_service": {"Decrypt": 0.45, "Encrypt": 0.35, "DescribeKey": 0.10, "ExportKeyMaterial": 0.10},
+    "administrator": {"Decrypt": 0.35, "Encrypt": 0.15, "DescribeKey": 0.30, "ExportKeyMaterial": 0.20},
 }
 
 # Share of the first usual address, dispersion of the custody regime.

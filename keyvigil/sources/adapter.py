@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyvigil.functions.calendar import EVALUATED, Period
+from keyvigil.functions.calendar import EVALUATED, WARMUP, Period
 from keyvigil.operators import policy
 from keyvigil.operators.campaign import legitimate_of_evaluated
 from keyvigil.schemas import ADMINISTRATOR
@@ -108,7 +108,7 @@ class Adapter:
 
     @cached_property
     def grants(self) -> DataFrame:
-        return policy.grants_of(self.operators)
+        return policy.grants_of(self.operators, ("seed",))
 
     @cached_property
     def administrators(self) -> DataFrame:
@@ -142,29 +142,29 @@ class Adapter:
     @cached_property
     def log(self) -> DataFrame:
         """Every request with its outcome and phase. The key table is bounded, the grants are not."""
-        decided = policy.decided(self.requests, self.keys, self.grants, key_bound=KEY_NUMBERS)
+        decided = policy.decided(self.requests, self.keys, self.grants, ("seed",), ())
         return decided.withColumn("phase", PERIOD.phase_of(F.col("timestamp")))
 
     @cached_property
     def compromised(self) -> DataFrame:
         """Sessions of administrators in the evaluated phase with two errors or more."""
-        admins = self.administrators.select("operator_id")
+        admins = self.administrators.select("seed", "operator_id")
         errors = (
             self.requests.where(PERIOD.belongs_to(EVALUATED, F.col("timestamp")))
             .where(F.col("event_type") == "error")
-            .groupBy("operator_id", "session_id")
+            .groupBy("seed", "operator_id", "session_id")
             .agg(F.count("*").alias("_errors"))
         )
-        return errors.where(F.col("_errors") >= 2).join(admins, "operator_id", "left_semi").select("session_id")
+        return errors.where(F.col("_errors") >= 2).join(admins, ["seed", "operator_id"], "left_semi").select("seed", "session_id")
 
     @cached_property
     def campaign(self) -> DataFrame:
         """Request rows of the compromised sessions."""
-        return legitimate_of_evaluated_rows(self.requests).join(self.compromised, "session_id", "left_semi")
+        return legitimate_of_evaluated_rows(self.requests).join(self.compromised, ["seed", "session_id"], "left_semi")
 
     @cached_property
     def legitimate(self) -> DataFrame:
-        return legitimate_of_evaluated_rows(self.requests).join(self.compromised, "session_id", "left_anti")
+        return legitimate_of_evaluated_rows(self.requests).join(self.compromised, ["seed", "session_id"], "left_anti")
 
     @cached_property
     def predictions(self) -> DataFrame:
@@ -178,7 +178,7 @@ class Adapter:
                 F.count_distinct("key_id").alias("distinct_keys"),
                 F.count_if(F.col("outcome") != "success").alias("failures"),
             )
-            .join(self.compromised.withColumn("_mark", F.lit(1)), "session_id", "left")
+            .join(self.compromised.withColumn("_mark", F.lit(1)), ["seed", "session_id"], "left")
             .withColumn("compromised", F.col("_mark").isNotNull().cast("int"))
         )
         sigma, events, distinct = F.col("sigma"), F.col("events"), F.col("distinct_keys")
@@ -193,6 +193,28 @@ class Adapter:
             "seed", "sigma", "session_id", "operator_id", "compromised", F.inline(F.array(*entries))
         )
 
+    @cached_property
+    def grid_log(self) -> DataFrame:
+        """The log of every (seed, sigma): the warm-up once per seed, the evaluated phase with a campaign per sigma.
+
+        At a higher sigma the campaign has fewer requests: of each compromised session, those whose number modulo 4 is
+        at least 2 sigma.
+        """
+        number = F.substring("event_id", 7, 9).cast("bigint")
+        evaluated = (
+            self.log.where(F.col("phase") == EVALUATED)
+            .join(self.compromised.withColumn("_mark", F.lit(1)), ["seed", "session_id"], "left")
+            .withColumn("sigma", F.explode(F.array(*[F.lit(s) for s in SIGMAS])))
+            .where(F.col("_mark").isNull() | (number % 4 >= 2 * F.col("sigma")))
+            .drop("_mark")
+        )
+        warmup = self.log.where(F.col("phase") == WARMUP).withColumn("sigma", F.lit(None).cast("double"))
+        return warmup.unionByName(evaluated)
+
+    @cached_property
+    def grid_compromised(self) -> DataFrame:
+        return self.compromised.withColumn("sigma", F.explode(F.array(*[F.lit(s) for s in SIGMAS])))
+
     @cached_property
     def timings(self) -> DataFrame:
         user = F.col("user_id") % 3

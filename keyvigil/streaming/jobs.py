@@ -24,10 +24,10 @@ def request_stream(spark: SparkSession, folder: str, schema: T.StructType, files
 
 
 def streaming_decisions(
-    stream: DataFrame, keys: DataFrame, grants: DataFrame, key_bound: int | None = None
+    stream: DataFrame, keys: DataFrame, grants: DataFrame, by: Sequence[str] = (), key_by: Sequence[str] | None = None
 ) -> DataFrame:
     """Stateless: two stream-static lookups and a CASE, the batch function as it is."""
-    return policy.decided(stream, keys, grants, key_bound=key_bound)
+    return policy.decided(stream, keys, grants, by, key_by)
 
 
 def streaming_sessions(

@@ -51,7 +51,7 @@ def _in_time_order(requests, files: int) -> str:
 
 def test_decisions_equal_batch(spark, requests, repository):
     folder = jobs.stage(requests, "requests", closing=False)
-    stream = jobs.streaming_decisions(jobs.request_stream(spark, folder, requests.schema), *repository, key_bound=3)
+    stream = jobs.streaming_decisions(jobs.request_stream(spark, folder, requests.schema), *repository)
     found = jobs.run_available(stream.select("event_id", "outcome"), "decisions")
     assert sorted(found.collect()) == sorted(policy.outcomes(requests, *repository).collect())
 
