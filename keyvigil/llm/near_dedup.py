@@ -5,11 +5,18 @@ they occur. Each shingle is a Poisson process whose rate is its weight; every ar
 register keeps the shingle that arrives first. Two registers agree with the probability Jaccard similarity of the weights.
 A document stops drawing as soon as no later arrival can be first anywhere.
 
-Documents with the same words are one node. Nodes that agree in all registers of a band are compared, exactly, in stars:
-first all nodes of a band's bucket with its smallest node; as long as a bucket still holds nodes of different components,
-with its next `LEADERS` nodes, until every pair of it is in one component or has been compared. So no link between different
-texts is lost to the grouping, and no bucket emits all its pairs. A pair is a link if the probability Jaccard similarity
-or the plain Jaccard similarity of its shingles is at least `SIMILARITY`.
+Documents with the same words are one node. Nodes that agree in all registers of a band share a bucket, and every pair of a
+bucket is decided, but no bucket emits its pairs:
+
+1. Star. Each node of a bucket is compared with the bucket's hub, the node that shares most buckets with others. Components of
+   these links settle buckets of copies at once.
+2. Rest. In a bucket that still holds several components, the nodes outside its largest one are compared with all its
+   nodes, chunk against chunk inside tasks, likeliest pairs first and only as long as the two are not connected yet.
+   Only links leave a task.
+
+A comparison first counts the registers that agree; where fewer than `SCREEN` do (five standard deviations below `SIMILARITY`), it is
+no link. All others are verified exactly: a pair is a link if the probability Jaccard similarity or the plain Jaccard
+similarity of its shingles is at least `SIMILARITY`. Links are joined to components on DataFrames.
 
 Cases: a null or empty text, or one of white space, is a class of its own; a null id counts as the smallest id; repeated
 rows are copies; an empty table gives no rows; other columns are not read.
@@ -23,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from keyvigil.llm.common import ID, KEY, LOWEST_ID, identified, joined_bytes, mixed, span_hashes, word_bounds
 from keyvigil.llm.components import components
@@ -33,10 +39,11 @@ from keyvigil.session import written
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5  # a pair of similarity 0.8 shares a band with probability 0.9999
-LEADERS = 16
+CHUNK = 128
+SCREEN = 0.62
 SECOND_BASE = 0xD6E8FEB86659FD93
 
-SIGNED = f"{ID} long, {KEY} long, n_words long, w1 long, w2 long, bands array<long>"
+SIGNED = f"{ID} long, {KEY} long, n_words long, w1 long, w2 long, bands array<long>, sketch binary"
 
 
 def _shingles(texts: list[bytes]):
@@ -84,7 +91,8 @@ def signatures(hashes: np.ndarray, document: np.ndarray, weights: np.ndarray, do
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row: id, key, n_words, 128 hash bits of the word sequence, and a hash for each band (none without words)."""
+    """Per row: id, key, n_words, 128 hash bits of the word sequence, a hash for each band (none without words), and
+    `sketch`, a byte of each register."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_blocks(batches):
@@ -95,12 +103,13 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             band = np.tile(np.arange(bands, dtype=np.uint64), len(texts))
             keys = mixed(span_hashes(flat, begin, begin + rows) + band).view(np.int64).reshape(len(texts), bands)
             lists = [x if n else [] for x, n in zip(keys.tolist(), count)]
+            sketches = [row.tobytes() for row in (winners & np.uint64(0xFF)).astype(np.uint8)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(count.astype(np.int64)), pa.array(w1.view(np.int64)),
-                    pa.array(w2.view(np.int64)), pa.array(lists, pa.list_(pa.int64())),
+                    pa.array(w2.view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(sketches, pa.binary()),
                 ],
-                names=[ID, KEY, "n_words", "w1", "w2", "bands"],
+                names=[ID, KEY, "n_words", "w1", "w2", "bands", "sketch"],
             )
 
     return docs.mapInArrow(sign, SIGNED)
@@ -146,75 +155,119 @@ def similarities(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) ->
     return float((1 / ((own_x + left) / x + (own_y + right) / y)).sum()), plain
 
 
+def _weighted(shingles: bytes, weights: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    elements = np.frombuffer(shingles, "<u4")
+    return elements, np.ones(len(elements), np.int64) if weights is None else np.frombuffer(weights, "<u4").astype(np.int64)
+
+
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarity of sketches (last axis: a byte per register; bytes agree by chance once in 256)."""
+    return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
+
+
+def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keeps the pairs (two first columns) whose sketches (two last columns) agree in enough registers."""
+    for batch in batches:
+        if batch.num_rows:
+            sides = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3)]
+            yield batch.select([0, 1]).filter(pa.array(_agreement(*sides) >= SCREEN))
+
+
 def _linked(similarity: float):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, *sides = (column.to_pylist() for column in batch.columns)
-            good = []
-            for s, v, t, w in zip(*sides):
-                s, t = np.frombuffer(s, "<u4"), np.frombuffer(t, "<u4")
-                v = np.ones(len(s), np.int64) if v is None else np.frombuffer(v, "<u4").astype(np.int64)
-                w = np.ones(len(t), np.int64) if w is None else np.frombuffer(w, "<u4").astype(np.int64)
-                good.append(max(similarities(s, v, t, w)) >= similarity)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(good, pa.bool_())], names=["a", "b", "similar"]
-            )
+            sides = zip(*(column.to_pylist() for column in batch.columns[2:]))
+            good = [max(similarities(*_weighted(s, v), *_weighted(t, w))) >= similarity for s, v, t, w in sides]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return link
 
 
-def verified(pairs: DataFrame, packed: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) with whether they are similar."""
-    side = lambda node: packed.select(
+def star_links(members: DataFrame, packed: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the hub of each bucket and its other nodes. members: bucket, node, hub."""
+    side = lambda node, sketch: packed.select(F.col("node").alias(node), F.col("sketch").alias(sketch))
+    pairs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    close = pairs.join(side("b", "s_b"), "b").join(side("a", "s_a"), "a").select("a", "b", "s_a", "s_b")
+    close = close.mapInArrow(_screened, "a long, b long")
+    full = lambda node: packed.select(
         F.col("node").alias(node), F.col("shingles").alias(f"s_{node}"), F.col("weights").alias(f"w_{node}")
     )
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "s_a", "w_a", "s_b", "w_b")
-    return both.mapInArrow(_linked(similarity), "a long, b long, similar boolean")
+    both = close.join(full("b"), "b").join(full("a"), "a").select("a", "b", "s_a", "w_a", "s_b", "w_b")
+    return both.mapInArrow(_linked(similarity), "a long, b long")
 
 
-def _ranked_leaders(members: DataFrame, after: int, count: int) -> DataFrame:
-    """The members ranked after+1 to after+count in each bucket; first in salted parts, so that no bucket is one group."""
-    salt = F.pmod(F.xxhash64("node"), F.lit(64))
-    part = Window.partitionBy("bucket", "salt").orderBy("node")
-    whole = Window.partitionBy("bucket").orderBy("node")
-    near = members.withColumn("salt", salt).withColumn("r", F.row_number().over(part)).where(F.col("r") <= after + count)
-    ranked = near.withColumn("r", F.row_number().over(whole)).where((F.col("r") > after) & (F.col("r") <= after + count))
-    return ranked.select("bucket", F.col("node").alias("a"))
+def _chunk_links(similarity: float):
+    """Links between the nodes of two chunks that are in different components, until these are connected."""
 
-
-def links(nodes: DataFrame, packed_of, similarity: float = SIMILARITY) -> DataFrame | None:
-    """Root of every node that has one other than itself. nodes: node and bands. packed_of(wanted nodes): their shingles."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for outside, every in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sketches = [np.frombuffer(b"".join(x["sketch"] for x in side), np.uint8).reshape(len(side), -1) for side in (outside, every)]
+                parent: dict[int, int] = {}
+
+                def root(node: int) -> int:
+                    while parent.get(node, node) != node:
+                        node = parent[node]
+                    return node
+
+                found = []
+                for one, sketch in zip(outside, sketches[0]):
+                    likeness = _agreement(sketch[None, :], sketches[1])
+                    near = np.flatnonzero(likeness >= SCREEN)
+                    for k in near[np.argsort(-likeness[near], kind="stable")]:
+                        other = every[k]
+                        a, b = root(one["root"]), root(other["root"])
+                        if a != b and max(similarities(
+                            *_weighted(one["shingles"], one["weights"]), *_weighted(other["shingles"], other["weights"])
+                        )) >= similarity:
+                            parent[a] = b
+                            found.append((one["node"], other["node"]))
+                if found:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"]
+                    )
+
+    return compare
+
+
+def rest_links(members: DataFrame, roots: DataFrame, packed: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join components inside the buckets that still hold several."""
+    rooted = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("bucket").agg(
+        F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most"),
+        F.max(F.struct("n", "root")).alias("largest"),
+    ).where("parts > 1").select("bucket", "all", (F.col("all") - F.col("most")).alias("outside"), F.col("largest.root").alias("main"))
+    unsettled = written(rooted.join(open_, "bucket"), "open-buckets").join(packed, "node")
+    entry = F.struct("node", "root", "sketch", "shingles", "weights")
+
+    def chunks(rows: DataFrame, size: Column, name: str) -> DataFrame:
+        number = F.pmod(F.xxhash64("node"), F.ceil(size / F.lit(CHUNK)).cast("long"))
+        return rows.groupBy("bucket", number.alias("chunk")).agg(F.collect_list(entry).alias(name)).drop("chunk")
+
+    outside = chunks(unsettled.where("root <> main"), F.col("outside"), "outside_nodes")
+    every = chunks(unsettled, F.col("all"), "nodes")
+    return outside.join(every, "bucket").select("outside_nodes", "nodes").mapInArrow(_chunk_links(similarity), "a long, b long")
+
+
+def links(nodes: DataFrame, packed_of, similarity: float = SIMILARITY) -> DataFrame:
+    """Root of every node that has one other than itself. nodes: node, bands, sketch. packed_of(wanted nodes): shingles."""
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    heads = rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = written(rows.join(heads, "bucket"), "band-members")
-    packed = written(packed_of(members.select("node").distinct()), "packed-shingles")
-    pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    tried = written(verified(pairs, packed, similarity), "pairs")
-    found = tried.where("similar").select("a", "b")
-    after = 1
-    while True:
-        roots = components(found)
-        rooted = members.join(roots, "node", "left").select(
-            "bucket", "node", F.coalesce("root", "node").alias("root")
-        )
-        span = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-        open_ = span.where((F.col("low") < F.col("high")) & (F.col("n") > after + 1)).select("bucket")
-        unsettled = written(rooted.join(open_, "bucket"), "open-buckets")
-        leaders = _ranked_leaders(unsettled.select("bucket", "node"), after, LEADERS)
-        of_leader = leaders.join(unsettled.select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a")), ["bucket", "a"])
-        new = (
-            unsettled.join(of_leader, "bucket").where((F.col("node") != F.col("a")) & (F.col("root") != F.col("root_a")))
-            .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-            .join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        )
-        checked = written(verified(new, packed, similarity), "pairs")
-        after += LEADERS
-        if unsettled.isEmpty():
-            return roots
-        tried = tried.union(checked)
-        found = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(
-            checked.where("similar").select("a", "b")
-        )
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(rows.join(sizes, "bucket"), "band-members")
+    degrees = shared.groupBy("node").agg(F.sum("n").alias("degree"))
+    ranked = shared.join(degrees, "node")
+    # The hub as one number: highest degree, then smallest node.
+    best = ranked.groupBy("bucket").agg(F.max("degree").alias("degree"))
+    hubs = ranked.join(best, ["bucket", "degree"]).groupBy("bucket").agg(F.min("node").alias("hub"))
+    members = written(shared.join(hubs, "bucket").drop("n"), "band-hubs")
+    packed = written(packed_of(degrees.select("node")).join(nodes.select("node", "sketch"), "node"), "packed-shingles")
+    star = written(star_links(members, packed, similarity), "star-links")
+    roots = components(star)
+    rest = written(rest_links(members, roots, packed, similarity), "rest-links")
+    if rest.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
 
 
 def _public(column: str) -> Column:
@@ -227,7 +280,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     worded = signs.where("n_words > 0")
     nodes = written(
         worded.groupBy("w1", "w2").agg(
-            F.min(ID).alias("least_id"), F.min_by(KEY, ID).alias("least_key"), F.first("bands").alias("bands")
+            F.min(ID).alias("least_id"), F.min_by(KEY, ID).alias("least_key"), F.first("bands").alias("bands"),
+            F.first("sketch").alias("sketch"),
         ).withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
@@ -237,7 +291,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         texts = docs.join(places, [ID, KEY]).select("node", KEY, "_doc_text")
         return texts.mapInArrow(_packed, PACKED).dropDuplicates(["node"])
 
-    roots = links(nodes.select("node", "bands"), packed_of, similarity)
+    roots = links(nodes.select("node", "bands", "sketch"), packed_of, similarity)
     rooted = nodes.join(roots, "node", "left").select("w1", "w2", "least_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("class_id"))
     named = rooted.join(least, "root").select("w1", "w2", "class_id")
