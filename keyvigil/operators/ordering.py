@@ -200,13 +200,18 @@ def _place(probability: float) -> Column:
 
 
 def integer_spine(frame: DataFrame, low: Column, high: Column, name: str) -> DataFrame:
-    """One row per whole number from low to high, exploded in two steps so that no single array is long."""
-    step = 1024
+    """One row per whole number from low to high, exploded in two steps so that no single array is long.
+
+    The steps are as long as the square root of the range, so neither array is longer than that.
+    """
+    low, high = low.cast("bigint"), high.cast("bigint")
+    step = F.greatest(F.lit(1024), F.ceil(F.sqrt((high - low).cast("double")))).cast("bigint")
     return (
-        frame.withColumn("_from", F.explode(F.sequence(low.cast("bigint"), high.cast("bigint"), F.lit(step).cast("bigint"))))
-        .withColumn("_last", F.least(F.col("_from") + (step - 1), high.cast("bigint")))
+        frame.withColumn("_step", step)
+        .withColumn("_from", F.explode(F.sequence(low, high, F.col("_step"))))
+        .withColumn("_last", F.least(F.col("_from") + F.col("_step") - 1, high))
         .withColumn(name, F.explode(F.sequence("_from", "_last")))
-        .drop("_from", "_last")
+        .drop("_from", "_last", "_step")
     )
 
 

@@ -31,13 +31,16 @@ def streaming_decisions(
 
 
 def streaming_sessions(
-    log: DataFrame, gap: str = "2 days", lateness: str = "1 hour", by: Sequence[str] = ("seed",)
+    log: DataFrame, gap: str = "2 days", lateness: str = "1 hour", by: Sequence[str] = ("seed",),
+    key_error: float | None = None,
 ) -> DataFrame:
     """Session attributes, emitted once the watermark has passed the end of the session plus the gap.
 
     Rows later than `lateness` are dropped; a session with a pause longer than `gap` comes out in parts. Exact
-    distinct counts do not exist on streams, so the keys of an open session are kept as a set.
+    distinct counts do not exist on streams, so the keys of an open session are kept as a set. Where sessions may use
+    very many keys, `key_error` (a relative standard deviation, say 0.01) keeps a sketch of fixed size instead.
     """
+    keys = F.size(F.collect_set("key_id")) if key_error is None else F.approx_count_distinct("key_id", key_error)
     log.sparkSession.conf.set(LOCAL_MERGE, "true")
     timed = log.withColumn("_moment", F.col("timestamp").cast("timestamp"))
     opening = F.min(F.struct("timestamp", "event_id", "operator_id", "source_ip"))
@@ -48,7 +51,7 @@ def streaming_sessions(
             opening.alias("_opening"),
             F.max("timestamp").alias("closed_at"),
             F.count("*").alias("events"),
-            F.size(F.collect_set("key_id")).cast("bigint").alias("distinct_keys"),
+            keys.cast("bigint").alias("distinct_keys"),
             rates.failures(F.col("outcome")).alias("failures"),
             rates.denials(F.col("outcome")).alias("denials"),
         )

@@ -65,6 +65,14 @@ def test_sessions_equal_batch(spark, requests, repository, files):
     assert sorted(found.select(batch.columns).collect()) == sorted(batch.collect())
 
 
+def test_sessions_with_a_sketch_of_their_keys(spark, requests, repository):
+    stream = jobs.request_stream(spark, _in_time_order(requests, 1), requests.schema)
+    live = jobs.streaming_sessions(jobs.streaming_decisions(stream, *repository), gap="1 day", key_error=0.01)
+    found = {r.session_id: r.distinct_keys for r in jobs.run_available(live, "sketched").collect()}
+    batch = sessions.per_session(policy.decided(requests, *repository)).collect()
+    assert found == {r.session_id: r.distinct_keys for r in batch}
+
+
 def test_a_long_pause_splits_a_session(spark, requests, repository):
     one = requests.where(F.col("session_id") == "s0-0").withColumn("session_id", F.lit("x"))
     later = one.withColumn("timestamp", F.expr("timestamp + interval 5 days")).withColumn("event_id", F.concat(F.lit("z"), "event_id"))
