@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from keyvigil.llm.common import joined_bytes, sub_blocks
 from keyvigil.session import written
 
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 SLICE_ROWS = 50_000
-ROWS_AT_ONCE = 500
+BLOCK_BYTES = 3_000_000
 WORDS_KEPT = 200_000
 
 PIECES = T.StructType([
@@ -48,8 +49,27 @@ PIECES = T.StructType([
 # ---- tokens ----------------------------------------------------------------------------------------------------------
 
 
+# Kinds of bytes: letters, digits, white space and other ASCII characters; all else (apostrophes, other scripts) is 0.
+_LETTER, _DIGIT, _OTHER, _SPACE = 1, 2, 3, 4
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:128] = _OTHER
+_KIND[127] = 0
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[[32, 9, 10, 11, 12, 13]] = _SPACE
+_KIND[ord("'")] = 0
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+# Between which neighbours every text is cut before it is merged into ids: the tokenizer takes letters, single digits and
+# other characters apart. Apostrophes may belong to either side, and so may bytes of other scripts.
+_CUT = np.zeros((5, 5), bool)
+_CUT[_LETTER, [_DIGIT, _OTHER, _SPACE]] = _CUT[[_DIGIT, _OTHER, _SPACE], _LETTER] = True
+_CUT[_DIGIT, [_DIGIT, _OTHER, _SPACE]] = _CUT[[_OTHER, _SPACE], _DIGIT] = True
+_CUT[_SPACE, [0, _OTHER]] = _CUT[[0, _OTHER], _SPACE] = True
+
+
 class _Words:
-    """Ids of single words, as little-endian 32-bit values. The tokenizer never joins across white space."""
+    """Ids of single words, as little-endian 32-bit values. The tokenizer never merges across the cuts above."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,6 +77,12 @@ class _Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        # A lone digit is an id of its own and never part of a word: it marks where the next word begins.
+        (self.mark,) = self.whole("0")
+        self.special = [x.content.encode().lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def ids(self, words: list[bytes]) -> list[bytes]:
         known = self.known
@@ -65,27 +91,56 @@ class _Words:
         found = list(map(known.get, words))
         missing = [i for i, x in enumerate(found) if x is None]
         if missing:
-            encoded = self.tokenizer.encode_batch_fast([words[i].decode() for i in missing], add_special_tokens=False)
-            for i, x in zip(missing, encoded):
-                found[i] = known[words[i]] = np.array(x.ids, "<u4").tobytes()
+            # Digits are words of one byte: they are looked up by themselves.
+            alone = [i for i in missing if words[i].isdigit()]
+            for i in alone:
+                found[i] = known[words[i]] = np.array(self.whole(words[i].decode()), "<u4").tobytes()
+            together = [i for i in missing if not words[i].isdigit()]
+            all_ids = np.array(self.whole((b" 0 ".join([words[i] for i in together]) + b" 0").decode()), "<u4")
+            ends = np.flatnonzero(all_ids == self.mark)
+            flat, begin = all_ids.tobytes(), 0
+            for i, end in zip(together, ends.tolist()):
+                found[i] = known[words[i]] = flat[4 * begin : 4 * end]
+                begin = end + 1
         return found
 
 
-def _tokenised(texts: pa.Array, words: _Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def _tokenised(texts: list[bytes], words: _Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids in one array, the end id after each text, and the place where each text begins."""
-    lists = pc.ascii_split_whitespace(texts)
-    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    coded = lists.flatten().cast(pa.binary()).dictionary_encode()
+    data, starts = joined_bytes(texts)
+    data = _LOWER[data]
+    kind = _KIND[data]
+    begins = np.ones(len(data), bool)
+    begins[1:] = _CUT[kind[:-1], kind[1:]]
+    solid = kind != _SPACE
+    begins &= solid
+    offsets = np.append(np.cumsum(solid)[begins] - 1, solid.sum()).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[solid].tobytes())])
+    coded = packed.dictionary_encode()
     each = [*words.ids(coded.dictionary.to_pylist()), np.array([end_id], "<u4").tobytes()]
     flat = np.frombuffer(b"".join(each), "<u4")
     sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
     places = np.cumsum(sizes) - sizes
-    index = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:], len(each) - 1)
+    before = np.searchsorted(np.flatnonzero(begins), starts[1:])  # words up to the end of each text
+    index = np.insert(coded.indices.to_numpy().astype(np.int64), before, len(each) - 1)
     counts = sizes[index]
     ends = np.cumsum(counts)
     ids = flat[np.repeat(places[index] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
-    last = bounds[1:] + np.arange(len(texts))  # where each end id stands among the words
-    return ids, np.concatenate(([0], ends[last])).astype(np.int64)
+    last = before + np.arange(len(texts))  # where each end id stands among the words
+    bounds = np.concatenate(([0], ends[last])).astype(np.int64)
+    lowered = data.tobytes()
+    if any(x in lowered for x in words.special):
+        return _with_special(texts, words, end_id, ids, bounds)
+    return ids, bounds
+
+
+def _with_special(texts: list[bytes], words: _Words, end_id: int, ids: np.ndarray, bounds: np.ndarray):
+    """The same where some text may hold the string of a special token: such a text goes to the tokenizer as a whole."""
+    parts = [
+        np.array([*words.whole(text.decode()), end_id], "<u4") if any(x in text.lower() for x in words.special) else ids[a:b]
+        for text, a, b in zip(texts, bounds[:-1], bounds[1:])
+    ]
+    return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64)
 
 
 def pieces(
@@ -102,10 +157,10 @@ def pieces(
 
         words = _Words(tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer))
         for whole in batches:
-            for first in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(first, ROWS_AT_ONCE)
-                texts = pc.fill_null(pa.concat_arrays([batch.column(1)]), "")
-                ids, starts = _tokenised(texts, words, end_id)
+            column = pc.fill_null(whole.column(1), "").cast(pa.binary())
+            for first, last in sub_blocks(pc.binary_length(column).to_numpy(zero_copy_only=False), BLOCK_BYTES):
+                batch = whole.slice(first, last - first)
+                ids, starts = _tokenised(column.slice(first, last - first).to_pylist(), words, end_id)
                 lengths = np.diff(starts)
                 parts = -(-lengths // capacity)
                 doc = np.repeat(np.arange(len(lengths)), parts)
