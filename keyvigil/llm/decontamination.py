@@ -36,6 +36,7 @@ MIN_WORDS = 8
 REPEATS, SAMPLES = 32, 2
 RUN = 3
 BLOCK_BYTES = 4_000_000
+WINDOWS_AT_ONCE, PAIRS_AT_ONCE = 2_000, 5_000
 PAD = np.uint64(0x5851F42D4C957F2D)
 _BITS = 20
 
@@ -62,118 +63,153 @@ def edits_allowed(n: int, share: float = SHARE) -> int:
     return int(share * n + 1e-9)
 
 
-def embedded_keys(words: np.ndarray, begin: np.ndarray, length: np.ndarray, n: int, seed: int, samples: int) -> np.ndarray:
-    """A key per window (words[begin:begin + length]) from sampled positions of its walk of 3n steps."""
-    draw = np.random.default_rng([n, seed])
-    wanted = np.sort(draw.choice(3 * n, samples, replace=False))
-    salts = draw.integers(0, 2**63, 3 * n, dtype=np.uint64)
-    at, end = begin.copy(), begin + length
-    key = np.zeros(len(begin), np.uint64)
-    for step in range(wanted[-1] + 1):
+def embedded_keys(words: np.ndarray, begin: np.ndarray, length: np.ndarray, n: np.ndarray, repeats: int, samples: int) -> np.ndarray:
+    """Keys of windows (words[begin:begin + length]) of n words: a row per repeat, a column per window.
+
+    Each repeat draws a salt per step and, for each n, the steps whose written word it samples.
+    """
+    seeds = np.arange(1, repeats + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    draws = [mixed(mixed(seeds + np.uint64(k + 1)) ^ n[None, :].astype(np.uint64)) for k in range(samples)]
+    wanted = [(x % (3 * n[None, :]).astype(np.uint64)).astype(np.int64) for x in draws]
+    at = np.repeat(begin[None, :], repeats, axis=0)
+    end = (begin + length)[None, :]
+    seen = [np.zeros(at.shape, np.uint64) for _ in range(samples)]
+    for step in range(max((int(x.max()) for x in wanted if x.size), default=-1) + 1):
         current = np.where(at < end, words[np.minimum(at, len(words) - 1)], PAD)
-        if step in wanted:
-            key = mixed(key * np.uint64(31) + current)
-        at += (mixed(current ^ salts[step]) & np.uint64(1)).astype(np.int64)
+        for value, place in zip(seen, wanted):
+            np.copyto(value, current, where=place == step)
+        salt = mixed(seeds ^ np.uint64((step + 1) << 32))
+        at += (mixed(current ^ salt) & np.uint64(1)).astype(np.int64)
+    key = mixed(seeds ^ n[None, :].astype(np.uint64))
+    for value in seen:
+        key = mixed(key * np.uint64(31) + value)
     return key
 
 
-def edit_distances(words: np.ndarray, begin: np.ndarray, length: np.ndarray, items: np.ndarray, most: int) -> np.ndarray:
-    """Edit distance of each window to its item (rows of `items`), exact up to `most`, larger than it beyond."""
-    count, n = items.shape
-    far = np.int32(most + 1)
-    width = 2 * most + 1
-    row = np.full((count, width), far, np.int32)  # column c stands for window place i + c - most
-    row[:, most:] = np.minimum(np.arange(most + 1), far)
-    for i in range(1, n + 1):
-        new = np.full((count, width), far, np.int32)
-        for c in range(width):
-            j = i + c - most
-            if j < 0:
-                continue
-            best = (row[:, c + 1] + 1) if c + 1 < width else np.full(count, far, np.int32)
-            if j == 0:
-                new[:, c] = np.minimum(best, far)
-                continue
-            inside = j <= length
-            word = words[np.minimum(begin + j - 1, len(words) - 1)]
-            best = np.minimum(best, row[:, c] + (word != items[:, i - 1]))
-            if c:
-                best = np.minimum(best, new[:, c - 1] + 1)
-            new[:, c] = np.where(inside, np.minimum(best, far), far)
-        row = new
-    at = length - n + most
-    return np.where((at >= 0) & (at < width), row[np.arange(count), np.clip(at, 0, width - 1)], far)
+def edit_distances(
+    words: np.ndarray, begin: np.ndarray, length: np.ndarray, item_words: np.ndarray, first: np.ndarray, n: np.ndarray, most: int
+) -> np.ndarray:
+    """Edit distance of each window to its item (item_words[first:first + n]), exact up to `most`, larger than it beyond.
+
+    Rows of the usual table, cut to a band, for all pairs at once; a running minimum takes the place of the step to the left.
+    """
+    pairs, far, width = len(begin), np.int32(most + 1), 2 * most + 1
+    longest, deepest = int(length.max(initial=0)), int(n.max(initial=0))
+    column = np.arange(width, dtype=np.int32)
+    window = np.zeros((pairs, most + max(longest, deepest) + most + 1), np.uint64)
+    inside = np.arange(longest)[None, :] < length[:, None]
+    window[:, most : most + longest][inside] = words[(begin[:, None] + np.arange(longest)[None, :])[inside]]
+    item = np.zeros((pairs, deepest), np.uint64)
+    within = np.arange(deepest)[None, :] < n[:, None]
+    item[within] = item_words[(first[:, None] + np.arange(deepest)[None, :])[within]]
+    row = np.where(column >= most, column - most, far)[None, :].repeat(pairs, axis=0).astype(np.int32)
+    result = np.full(pairs, far, np.int32)
+    at = np.clip(length - n + most, 0, width - 1)
+    reachable = np.abs(length - n) <= most
+    for i in range(1, deepest + 1):
+        place = i + column - most  # how much of the window each column stands for
+        new = row + (window[:, i - 1 : i - 1 + width] != item[:, i - 1 : i])
+        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+        new[:, place == 0] = i
+        new[(place < 0)[None, :] | (place[None, :] > length[:, None])] = far
+        new = np.minimum.accumulate(new - column, axis=1) + column
+        row = np.minimum(new, far).astype(np.int32)
+        row[(place < 0)[None, :] | (place[None, :] > length[:, None])] = far
+        done = (n == i) & reachable
+        result[done] = row[done, at[done]]
+    return result
 
 
 class _Index:
-    """Keys of one block of items, per number of words."""
+    """One block of items: their three-word runs by number of words, and their keys in each repeat."""
 
     def __init__(self, items: list[tuple[int, str]], share: float, repeats: int, samples: int):
-        words, first = normal_words([text.encode() for _, text in items])
+        self.words, first = normal_words([text.encode() for _, text in items])
         count = np.diff(first)
-        self.ids = np.array([number for number, _ in items], np.int64)
-        runs = np.arange(max(len(words) - RUN + 1, 0))
-        self.runs = np.unique(span_hashes(words, runs, runs + RUN)) if len(runs) else np.zeros(0, np.uint64)
+        long_enough = count >= MIN_WORDS
+        self.ids = np.array([number for number, _ in items], np.int64)[long_enough]
+        self.first, self.count = first[:-1][long_enough], count[long_enough]
+        self.most = np.array([edits_allowed(int(n), share) for n in self.count], np.int64)
+        self.repeats, self.samples, self.share = repeats, samples, share
+        number = self.count - RUN + 1
+        at = np.repeat(self.first - (np.cumsum(number) - number), number) + np.arange(number.sum())
+        size = np.repeat(self.count, number)
+        hashes = span_hashes(self.words, at, at + RUN) if len(at) else np.zeros(0, np.uint64)
+        order = np.lexsort((size, hashes))
+        hashes, size = hashes[order], size[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (size[1:] != size[:-1])
+        self.runs, self.run_sizes = hashes[new], size[new]
         self.filter = np.zeros(1 << _BITS, bool)
         self.filter[(self.runs >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        self.repeats, self.samples = repeats, samples
-        self.classes = []
-        for n in np.unique(count[count >= MIN_WORDS]):
-            own = np.flatnonzero(count == n)
-            content = words[first[own][:, None] + np.arange(n)]
-            tables = []
-            for seed in range(repeats):
-                keys = embedded_keys(words, first[own], count[own], int(n), seed, samples)
-                order = np.argsort(keys, kind="stable")
-                tables.append((keys[order], order))
-            self.classes.append((int(n), edits_allowed(int(n), share), own, content, tables))
-
-    def hits(self, words: np.ndarray) -> np.ndarray:
-        """Places where a run of three words of any item starts."""
-        runs = np.arange(max(len(words) - RUN + 1, 0))
-        hashes = span_hashes(words, runs, runs + RUN) if len(runs) else np.zeros(0, np.uint64)
+        keys = embedded_keys(self.words, self.first, self.count, self.count, repeats, samples)
+        self.order = np.argsort(keys, axis=1, kind="stable")
+        self.keys = np.take_along_axis(keys, self.order, axis=1)
+
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a run of an item starts, once for each number of words such items have."""
+        places = np.arange(max(len(words) - RUN + 1, 0))
+        hashes = span_hashes(words, places, places + RUN) if len(places) else np.zeros(0, np.uint64)
         near = np.flatnonzero(self.filter[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(self.runs, hashes[near]), max(len(self.runs) - 1, 0))
-        return near[self.runs[place] == hashes[near]] if len(near) else near
+        low, high = (np.searchsorted(self.runs, hashes[near], side=side) for side in ("left", "right"))
+        each = high - low
+        entry = np.repeat(low - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        return np.repeat(near, each), self.run_sizes[entry]
+
+    def windows(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, length and item size of every window with enough runs of items of its size."""
+        hits, sizes = self.hits(words)
+        found = []
+        for n in np.unique(sizes):
+            own = hits[sizes == n]
+            most = edits_allowed(int(n), self.share)
+            need = max(1, n - RUN + 1 - RUN * most)
+            if len(own) < need:
+                continue
+            head, last = own[: len(own) - need + 1], own[need - 1 :]
+            document = np.searchsorted(first, head, side="right") - 1
+            good = (last - head <= n - RUN) & (last < first[document + 1])
+            head, last, document = head[good], last[good], document[good]
+            low = np.maximum(last - (n - RUN), first[document])
+            each = np.maximum(head + 1 - low, 0)
+            begin = np.unique(np.repeat(low - (np.cumsum(each) - each), each) + np.arange(each.sum()))
+            length = np.minimum(first[np.searchsorted(first, begin, side="right")] - begin, n)
+            fits = length >= n - most
+            found.append((begin[fits], length[fits], np.full(fits.sum(), n)))
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     def matches(self, words: np.ndarray, first: np.ndarray):
         """Item numbers with place of the window and distance, for all windows of the block's documents that match."""
-        hits = self.hits(words)
-        document = np.searchsorted(first, hits, side="right") - 1
-        for n, most, own, content, tables in self.classes:
-            need = max(1, n - RUN + 1 - RUN * most)
-            if len(hits) < need:
-                continue
-            last = hits[need - 1 :]
-            head = hits[: len(last)]
-            good = (last - head <= n - RUN) & (document[: len(last)] == document[need - 1 :])
-            low = np.maximum(last[good] - (n - RUN), first[document[: len(last)][good]])
-            high = head[good] + 1
-            if not len(low):
-                continue
-            sizes = np.maximum(high - low, 0)
-            begin = np.unique(np.repeat(low, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-            end = first[np.searchsorted(first, begin, side="right")]
-            length = np.minimum(end - begin, n)
-            begin, length = begin[length >= n - most], length[length >= n - most]
+        begins, lengths, sizes = self.windows(words, first)
+        for part in range(0, len(begins), WINDOWS_AT_ONCE):
+            begin, length, size = (x[part : part + WINDOWS_AT_ONCE] for x in (begins, lengths, sizes))
+            probes = embedded_keys(words, begin, length, size, self.repeats, self.samples)
             pairs = []
-            for seed, (keys, order) in enumerate(tables):
-                probe = embedded_keys(words, begin, length, n, seed, self.samples)
-                a, b = np.searchsorted(keys, probe, side="left"), np.searchsorted(keys, probe, side="right")
-                window = np.repeat(np.arange(len(begin)), b - a)
-                entry = np.repeat(a, b - a) + np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
-                pairs.append(window * len(own) + order[entry])
+            for probe, keys, order in zip(probes, self.keys, self.order):
+                low, high = (np.searchsorted(keys, probe, side=side) for side in ("left", "right"))
+                each = high - low
+                entry = np.repeat(low - (np.cumsum(each) - each), each) + np.arange(each.sum())
+                pairs.append(np.repeat(np.arange(len(begin)), each) * len(self.ids) + order[entry])
             pairs = np.unique(np.concatenate(pairs))
-            window, item = pairs // len(own), pairs % len(own)
-            for at in range(0, len(pairs), 20_000):
-                w, i = window[at : at + 20_000], item[at : at + 20_000]
-                distance = edit_distances(words, begin[w], length[w], content[i], most)
-                yield own[i[distance <= most]], begin[w[distance <= most]], distance[distance <= most]
+            window, item = pairs // max(len(self.ids), 1), pairs % max(len(self.ids), 1)
+            # Items of like size together, so that none is filled up to more than twice its words.
+            scale = np.log2(self.count[item]).astype(int) if len(item) else item
+            for level in np.unique(scale):
+                for at in range(0, (scale == level).sum(), PAIRS_AT_ONCE):
+                    w, i = (x[scale == level][at : at + PAIRS_AT_ONCE] for x in (window, item))
+                    distance = edit_distances(
+                        words, begin[w], length[w], self.words, self.first[i], self.count[i], int(self.most[i].max())
+                    )
+                    good = distance <= self.most[i]
+                    yield i[good], begin[w[good]], distance[good]
 
 
 def _search(items: list[tuple[int, str]], share: float, repeats: int, samples: int):
+    index = _Index(items, share, repeats, samples)  # built once; its size is bounded by the block
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _Index(items, share, repeats, samples)
         for batch, texts in text_blocks(batches):
             words, first = normal_words(texts)
             found: dict[int, dict[int, tuple[int, int]]] = {}
