@@ -40,6 +40,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5  # a pair of similarity 0.8 shares a band with probability 0.9999
 CHUNK = 128
+BATCH_BYTES = 16 << 20
 SCREEN = 0.62
 SECOND_BASE = 0xD6E8FEB86659FD93
 
@@ -201,7 +202,8 @@ def _chunk_links(similarity: float):
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for outside, every in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for row in range(batch.num_rows):  # one pair of chunks at a time, so that no more are held as objects
+                outside, every = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
                 sketches = [np.frombuffer(b"".join(x["sketch"] for x in side), np.uint8).reshape(len(side), -1) for side in (outside, every)]
                 parent: dict[int, int] = {}
 
@@ -239,6 +241,8 @@ def rest_links(members: DataFrame, roots: DataFrame, packed: DataFrame, similari
         F.max(F.struct("n", "root")).alias("largest"),
     ).where("parts > 1").select("bucket", "all", (F.col("all") - F.col("most")).alias("outside"), F.col("largest.root").alias("main"))
     unsettled = written(rooted.join(open_, "bucket"), "open-buckets").join(packed, "node")
+    # Rows of two chunks are large: fewer of them at a time in a task.
+    members.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     entry = F.struct("node", "root", "sketch", "shingles", "weights")
 
     def chunks(rows: DataFrame, size: Column, name: str) -> DataFrame:
