@@ -159,7 +159,8 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def in_buckets(sent: DataFrame) -> DataFrame:
-    return sent.repartition(partitions(sent), "bucket").sortWithinPartitions("bucket")
+    """One bucket per partition: the bucket's number is the partition's, so no two buckets meet by chance."""
+    return sent.repartitionById(partitions(sent), F.col("bucket"))
 
 
 def repeated_units(docs: DataFrame, units_of: Callable, width: str, name: str, many_blocks: int = 1 << 40) -> DataFrame:
