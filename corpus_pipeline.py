@@ -52,7 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontamination.matches(identified(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontamination.matches(identified(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), free_end=True)
     return _keyed(docs).join(found.select(ID, KEY), [ID, KEY], "left_anti").select(*docs.columns)
 
 

@@ -25,7 +25,8 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.decontaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.decontaminated(_documents(spark, sf_dir), benchmark, free_end=True)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

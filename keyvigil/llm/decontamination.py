@@ -1,7 +1,9 @@
 """Benchmark decontamination: windows of item size, embedded by random walks, matched by sampled positions, then verified.
 
 A benchmark item of n words is found in a document where some window of n words is within edit distance `SHARE` * n
-(rounded down) of it. Words are runs of letters and digits in lower case, compared by hash.
+(rounded down) of it. Words are runs of letters and digits in lower case, compared by hash. With `free_end`, as the registered
+query and the pipeline ask for, windows of any length count (those more than `SHARE` * n off cannot match), so a missing or
+inserted word costs one edit; without it only windows of n words do, where it costs about two.
 
 The CGK walk reads a word sequence and writes the current word at each of 3n steps; a random bit that depends on step and
 word says whether it moves on. Two sequences that are a few edits apart fall into step again, so edit distance becomes
@@ -87,10 +89,13 @@ def embedded_keys(words: np.ndarray, begin: np.ndarray, length: np.ndarray, n: n
 
 
 def edit_distances(
-    words: np.ndarray, begin: np.ndarray, length: np.ndarray, item_words: np.ndarray, first: np.ndarray, n: np.ndarray, most: int
+    words: np.ndarray, begin: np.ndarray, length: np.ndarray, item_words: np.ndarray, first: np.ndarray, n: np.ndarray, most: int,
+    free_end: bool = False,
 ) -> np.ndarray:
     """Edit distance of each window to its item (item_words[first:first + n]), exact up to `most`, larger than it beyond.
 
+    With `free_end`, the smallest distance of all beginnings of the window.
+
     Rows of the usual table, cut to a band, for all pairs at once; a running minimum takes the place of the step to the left.
     """
     pairs, far, width = len(begin), np.int32(most + 1), 2 * most + 1
@@ -105,7 +110,7 @@ def edit_distances(
     row = np.where(column >= most, column - most, far)[None, :].repeat(pairs, axis=0).astype(np.int32)
     result = np.full(pairs, far, np.int32)
     at = np.clip(length - n + most, 0, width - 1)
-    reachable = np.abs(length - n) <= most
+    reachable = length >= n - most if free_end else np.abs(length - n) <= most
     for i in range(1, deepest + 1):
         place = i + column - most  # how much of the window each column stands for
         new = row + (window[:, i - 1 : i - 1 + width] != item[:, i - 1 : i])
@@ -116,21 +121,21 @@ def edit_distances(
         row = np.minimum(new, far).astype(np.int32)
         row[(place < 0)[None, :] | (place[None, :] > length[:, None])] = far
         done = (n == i) & reachable
-        result[done] = row[done, at[done]]
+        result[done] = row[done].min(axis=1) if free_end else row[done, at[done]]
     return result
 
 
 class _Index:
     """One block of items: their three-word runs by number of words, and their keys in each repeat."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float, repeats: int, samples: int):
+    def __init__(self, items: list[tuple[int, str]], share: float, repeats: int, samples: int, free_end: bool):
         self.words, first = normal_words([text.encode() for _, text in items])
         count = np.diff(first)
         long_enough = count >= MIN_WORDS
         self.ids = np.array([number for number, _ in items], np.int64)[long_enough]
         self.first, self.count = first[:-1][long_enough], count[long_enough]
         self.most = np.array([edits_allowed(int(n), share) for n in self.count], np.int64)
-        self.repeats, self.samples, self.share = repeats, samples, share
+        self.repeats, self.samples, self.share, self.free_end = repeats, samples, share, free_end
         number = self.count - RUN + 1
         at = np.repeat(self.first - (np.cumsum(number) - number), number) + np.arange(number.sum())
         size = np.repeat(self.count, number)
@@ -157,23 +162,27 @@ class _Index:
         return np.repeat(near, each), self.run_sizes[entry]
 
     def windows(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Begin, length and item size of every window with enough runs of items of its size."""
+        """Begin, length and item size of every window with enough runs of items of its size.
+
+        With a free end, windows are as long as the longest that can match.
+        """
         hits, sizes = self.hits(words)
         found = []
         for n in np.unique(sizes):
             own = hits[sizes == n]
             most = edits_allowed(int(n), self.share)
             need = max(1, n - RUN + 1 - RUN * most)
+            longest = n + most if self.free_end else n
             if len(own) < need:
                 continue
             head, last = own[: len(own) - need + 1], own[need - 1 :]
             document = np.searchsorted(first, head, side="right") - 1
-            good = (last - head <= n - RUN) & (last < first[document + 1])
+            good = (last - head <= longest - RUN) & (last < first[document + 1])
             head, last, document = head[good], last[good], document[good]
-            low = np.maximum(last - (n - RUN), first[document])
+            low = np.maximum(last - (longest - RUN), first[document])
             each = np.maximum(head + 1 - low, 0)
             begin = np.unique(np.repeat(low - (np.cumsum(each) - each), each) + np.arange(each.sum()))
-            length = np.minimum(first[np.searchsorted(first, begin, side="right")] - begin, n)
+            length = np.minimum(first[np.searchsorted(first, begin, side="right")] - begin, longest)
             fits = length >= n - most
             found.append((begin[fits], length[fits], np.full(fits.sum(), n)))
         if not found:
@@ -185,7 +194,7 @@ class _Index:
         begins, lengths, sizes = self.windows(words, first)
         for part in range(0, len(begins), WINDOWS_AT_ONCE):
             begin, length, size = (x[part : part + WINDOWS_AT_ONCE] for x in (begins, lengths, sizes))
-            probes = embedded_keys(words, begin, length, size, self.repeats, self.samples)
+            probes = embedded_keys(words, begin, np.minimum(length, size), size, self.repeats, self.samples)
             pairs = []
             for probe, keys, order in zip(probes, self.keys, self.order):
                 low, high = (np.searchsorted(keys, probe, side=side) for side in ("left", "right"))
@@ -200,14 +209,15 @@ class _Index:
                 for at in range(0, (scale == level).sum(), PAIRS_AT_ONCE):
                     w, i = (x[scale == level][at : at + PAIRS_AT_ONCE] for x in (window, item))
                     distance = edit_distances(
-                        words, begin[w], length[w], self.words, self.first[i], self.count[i], int(self.most[i].max())
+                        words, begin[w], length[w], self.words, self.first[i], self.count[i], int(self.most[i].max()),
+                        self.free_end,
                     )
                     good = distance <= self.most[i]
                     yield i[good], begin[w[good]], distance[good]
 
 
-def _search(items: list[tuple[int, str]], share: float, repeats: int, samples: int):
-    index = _Index(items, share, repeats, samples)  # built once; its size is bounded by the block
+def _search(items: list[tuple[int, str]], share: float, repeats: int, samples: int, free_end: bool):
+    index = _Index(items, share, repeats, samples, free_end)  # built once; its size is bounded by the block
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_blocks(batches):
@@ -235,7 +245,7 @@ def _search(items: list[tuple[int, str]], share: float, repeats: int, samples: i
 
 def matches(
     docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE,
-    repeats: int = REPEATS, samples: int = SAMPLES,
+    repeats: int = REPEATS, samples: int = SAMPLES, free_end: bool = False,
 ) -> DataFrame:
     """Per document that holds items: id, key, item_ids with the start (in words) and distance of the best window of each."""
     items = benchmark.select(
@@ -246,7 +256,7 @@ def matches(
     parts = []
     for block in range(blocks):
         chosen = items.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks)) == block).orderBy("item", "item_text").collect()
-        parts.append(docs.mapInArrow(_search([tuple(row) for row in chosen], share, repeats, samples), FOUND))
+        parts.append(docs.mapInArrow(_search([tuple(row) for row in chosen], share, repeats, samples, free_end), FOUND))
     found = parts[0]
     for part in parts[1:]:
         found = found.union(part)

@@ -135,3 +135,45 @@ def test_recall_of_the_sampled_walks():
             flat, begin, length, np.array([n, n]), decontamination.REPEATS, decontamination.SAMPLES)
         met += bool((keys[:, 0] == keys[:, 1]).any())
     assert met >= 297
+
+
+def nearest(words, own):
+    """Smallest distance of the item to any run of words of the document, wherever it begins and ends."""
+    row = [0] * (len(words) + 1)
+    for i, x in enumerate(own, 1):
+        new = [i]
+        for j, y in enumerate(words, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_missing_and_inserted_words_cost_one_edit_each(spark):
+    """With a free end, against all windows of all lengths; items stand in the middle of documents."""
+    rng = random.Random(12)
+    items = [(i, edges.sentence(rng, n)) for i, n in enumerate((15, 15, 20, 8, 9, 17, 21, 33, 44, 59))]
+    rows, k = [], 0
+    for _, text in items:
+        own = normal(text)
+        most = int(0.2 * len(own) + 1e-9)
+        for edits in range(most + 2):
+            for kind in ("less", "more", "mixed"):
+                hidden = list(own)
+                for at in sorted(rng.sample(range(2, len(own) - 2), edits), reverse=True):
+                    if kind == "less":
+                        del hidden[at]
+                    elif kind == "more":
+                        hidden.insert(at, f"new{rng.randrange(999)}")
+                if kind == "mixed":
+                    hidden = edit(rng, hidden, edits)
+                rows.append((k, f"{edges.sentence(rng, 30)} {' '.join(hidden)} {edges.sentence(rng, 30)}"))
+                k += 1
+    expected = {d: [i for i, q in items if nearest(normal(t), normal(q)) <= int(0.2 * len(normal(q)) + 1e-9)] for d, t in rows}
+    result = decontamination.decontaminated(edges.frame(spark, rows), benchmark(spark, items), free_end=True).collect()
+    wanted = sum(map(len, expected.values()))
+    assert all(set(r["item_ids"]) <= set(expected[r["doc_id"]]) for r in result)
+    assert wanted > 100 and sum(len(expected[r["doc_id"]]) - r["n_items"] for r in result) <= 0.01 * wanted
+    for r in result:
+        words = normal(rows[r["doc_id"]][1])
+        assert r["distances"] == [nearest(words, normal(items[i][1])) for i in r["item_ids"]]
+    assert {r["doc_id"] for r in result if r["contaminated"]} > set(range(9))  # 15 words, up to 2 left out or put in
