@@ -8,7 +8,8 @@ texts share never enters).
 Labels say toxic or not. Grade 0 is not toxic; toxic texts are graded 1 to `GRADES` by equal shares of their evidence, the
 number of those features per hundred words. Where a table has grades of its own, `fit` takes them as they are.
 
-Training rows are bounded: at most `MOST_LABELLED` of each label, chosen by hash of the id. Everything else covers all rows.
+Training rows are bounded: at most `MOST_LABELLED` of each label, chosen by hash of the id; in the fit each stands for as many
+labelled rows as its label has for each chosen one, so the base rate is that of all labels. Everything else covers all rows.
 
 Cases: null or empty texts have no features and get the base severity; ids may be null or repeated; without toxic labels
 every severity is 0; other columns are not read.
@@ -111,12 +112,19 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -50, 50)))
 
 
-def fit(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, vocabulary: np.ndarray, columns: int) -> Model:
-    """Maximum likelihood with a quadratic penalty, by accelerated gradient steps over the whole (bounded) sample."""
+def fit(
+    row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, vocabulary: np.ndarray, columns: int,
+    weight: np.ndarray | None = None,
+) -> Model:
+    """Maximum likelihood with a quadratic penalty, by accelerated gradient steps over the whole (bounded) sample.
+
+    weight: how many rows each row of the sample stands for (all alike if not given).
+    """
+    weight = np.ones(len(grade)) if weight is None else weight / weight.mean()
     top = int(grade.max()) if len(grade) else 0
     weights = np.zeros(columns)
     # Thresholds as a first one and logarithms of the gaps, so that they stay in order.
-    shares = np.array([np.mean(grade > j) for j in range(top)]) if top else np.zeros(0)
+    shares = np.array([np.mean(weight * (grade > j)) for j in range(top)]) if top else np.zeros(0)
     start = np.log((1 - np.clip(shares, 1e-6, 1 - 1e-6)) / np.clip(shares, 1e-6, 1 - 1e-6))
     free = np.concatenate((start[:1], np.log(np.maximum(np.diff(start), 1e-3))))
     n = max(len(grade), 1)
@@ -131,10 +139,10 @@ def fit(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarra
         slope = np.column_stack((np.zeros(len(grade)), sigma * (1 - sigma), np.zeros(len(grade))))
         own = np.arange(len(grade))
         p = np.maximum(full[own, grade + 1] - full[own, grade], 1e-12)
-        d_score = (slope[own, grade + 1] - slope[own, grade]) / p  # of the negative log likelihood
+        d_score = weight * (slope[own, grade + 1] - slope[own, grade]) / p  # of the negative log likelihood
         d_t = np.zeros((len(grade), top + 2))
-        d_t[own, grade + 1] -= slope[own, grade + 1] / p
-        d_t[own, grade] += slope[own, grade] / p
+        d_t[own, grade + 1] -= weight * slope[own, grade + 1] / p
+        d_t[own, grade] += weight * slope[own, grade] / p
         d_t = d_t[:, 1 : top + 1].mean(axis=0)
         grad_w = np.bincount(column, weights=value * d_score[row], minlength=len(weights)) / n + PENALTY * weights
         grad_t = np.concatenate(([d_t.sum()], np.cumsum(d_t[::-1])[::-1][1:] * gaps))
@@ -148,11 +156,15 @@ def fit(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarra
     return Model(vocabulary, weights, thresholds)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """toxic, nothing, text of the bounded training sample (at most `most` rows of each label)."""
-    known = labels.select(F.col("doc_id").alias("_label_id"), F.col("toxic").cast("int").alias("toxic")).where(
+def known_labels(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("doc_id").alias("_label_id"), F.col("toxic").cast("int").alias("toxic")).where(
         "_label_id is not null and toxic is not null"
     ).distinct()
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
+    """toxic, nothing, text of the bounded training sample (at most `most` rows of each label)."""
+    known = known_labels(labels)
     part = lambda value: known.where(F.col("toxic") == value).orderBy(F.xxhash64("_label_id"), "_label_id").limit(most)
     chosen = F.broadcast(part(0).union(part(1)))  # 2 * most rows at the most
     rows = docs.join(chosen, docs["_doc_id"] == chosen["_label_id"])
@@ -201,7 +213,10 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mo
     evidence = np.bincount(row, weights=count, minlength=len(sample)) / np.maximum(words, 1)
     cuts = np.quantile(evidence[toxic == 1], np.arange(1, GRADES) / GRADES)
     grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, evidence, side="right"), 0)
-    return fit(*_valued(row, column, count, words, len(vocabulary)), grade, vocabulary, 2 * len(vocabulary))
+    # Labels are chosen by id, before documents are looked up: each chosen one stands for all / chosen of its label.
+    total = {r["toxic"]: r["n"] for r in known_labels(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    weight = np.where(toxic == 1, *(max(total.get(k, 0) / most, 1.0) for k in (1, 0)))
+    return fit(*_valued(row, column, count, words, len(vocabulary)), grade, vocabulary, 2 * len(vocabulary), weight)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -52,3 +52,20 @@ def test_odd_cases(spark):
     none = toxicity.severities(edges.frame(spark, rows), labels.where("toxic = 0")).collect()
     assert all(r["severity"] == 0 and not r["toxic"] for r in none)
     assert toxicity.severities(edges.frame(spark, [], 1), labels).count() == 0
+
+
+def test_base_rate_does_not_follow_the_sample(spark):
+    """A small sample has as many toxic as other texts, but the probabilities are those of all labels."""
+    rng = random.Random(6)
+    toxic = [i % 10 == 0 for i in range(2000)]
+    # A word that most toxic texts hold, and a tenth of the others: neither label is certain.
+    rows = [(i, edges.sentence(rng, 30) + (" vile" if rng.random() < (0.8 if bad else 0.1) else "")) for i, bad in enumerate(toxic)]
+    labels = spark.createDataFrame([(i, int(bad)) for i, bad in enumerate(toxic)], "doc_id long, toxic int")
+    docs = toxicity.identified(edges.frame(spark, rows)).cache()
+    mean = {}
+    for most in (2000, 150):
+        found = toxicity.scored(docs, toxicity.trained(docs, labels, most)).collect()
+        mean[most] = np.mean([r["p_toxic"] for r in found]), np.mean([r["severity"] for r in found])
+    assert abs(mean[2000][0] - 0.1) < 0.02
+    # The 150 other texts hold the word 15 times, give or take four.
+    assert abs(mean[150][0] - 0.1) < 0.05 and abs(mean[150][1] - mean[2000][1]) < 0.1
