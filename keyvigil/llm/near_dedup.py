@@ -3,9 +3,10 @@
 A document's shingles are its runs of `SHINGLE` consecutive words (a shorter text is one shingle), weighted by how often
 they occur. Each shingle is a Poisson process whose rate is its weight; every arrival picks one of the registers, and a
 register keeps the shingle that arrives first. Two registers agree with the probability Jaccard similarity of the weights.
-A document stops drawing as soon as no later arrival can be first anywhere.
+A document stops drawing as soon as no later arrival can be first anywhere. A document with repeated shingles is signed a second
+time with all weights 1; those registers agree with the plain Jaccard similarity. Where nothing repeats the two are the same.
 
-Documents with the same words are one node. Nodes that agree in all registers of a band share a bucket, and every pair of a
+Documents with the same words are one node. Nodes that agree in all registers of a band of either signature share a bucket, and every pair of a
 bucket is decided, but no bucket emits its pairs:
 
 1. Star. Each node of a bucket is compared with the bucket's hub, the node that shares most buckets with others. Components of
@@ -14,9 +15,10 @@ bucket is decided, but no bucket emits its pairs:
    nodes, chunk against chunk inside tasks, likeliest pairs first and only as long as the two are not connected yet.
    Only links leave a task.
 
-A comparison first counts the registers that agree; where fewer than `SCREEN` do (five standard deviations below `SIMILARITY`), it is
-no link. All others are verified exactly: a pair is a link if the probability Jaccard similarity or the plain Jaccard
-similarity of its shingles is at least `SIMILARITY`. Links are joined to components on DataFrames.
+A comparison first counts the registers that agree, of either signature; where fewer than `SCREEN` do (five standard
+deviations below `SIMILARITY`), it is no link. All others are verified exactly: a pair is a link if the probability Jaccard
+similarity or the plain Jaccard similarity of its shingles is at least `SIMILARITY`. Links are joined to components on
+DataFrames.
 
 Cases: a null or empty text, or one of white space, is a class of its own; a null id counts as the smallest id; repeated
 rows are copies; an empty table gives no rows; other columns are not read.
@@ -91,20 +93,34 @@ def signatures(hashes: np.ndarray, document: np.ndarray, weights: np.ndarray, do
     return winner.reshape(documents, registers)
 
 
+def _banded(winners: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each band and a byte for each register, a row per document."""
+    flat = winners.ravel()
+    begin = np.arange(0, len(flat), rows)
+    band = np.tile(np.arange(bands, dtype=np.uint64), len(winners))
+    keys = mixed(span_hashes(flat, begin, begin + rows) + band).view(np.int64).reshape(len(winners), bands)
+    return keys, (winners & np.uint64(0xFF)).astype(np.uint8)
+
+
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row: id, key, n_words, 128 hash bits of the word sequence, a hash for each band (none without words), and
-    `sketch`, a byte of each register."""
+    `sketch`, a byte of each register; where shingles repeat, bands and bytes of the unweighted registers follow."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_blocks(batches):
             hashes, document, weights, count, (w1, w2) = _shingles(texts)
-            winners = signatures(hashes, document, weights, len(texts), bands * rows)
-            flat = winners.ravel()
-            begin = np.arange(0, len(flat), rows)
-            band = np.tile(np.arange(bands, dtype=np.uint64), len(texts))
-            keys = mixed(span_hashes(flat, begin, begin + rows) + band).view(np.int64).reshape(len(texts), bands)
+            keys, registers = _banded(signatures(hashes, document, weights, len(texts), bands * rows), bands, rows)
             lists = [x if n else [] for x, n in zip(keys.tolist(), count)]
-            sketches = [row.tobytes() for row in (winners & np.uint64(0xFF)).astype(np.uint8)]
+            sketches = [row.tobytes() for row in registers]
+            repeats = np.unique(document[weights > 1])
+            if len(repeats):
+                own = np.isin(document, repeats)
+                plain = signatures(
+                    hashes[own], np.searchsorted(repeats, document[own]), np.ones(own.sum(), np.int64), len(repeats), bands * rows
+                )
+                for k, more, row in zip(repeats.tolist(), *_banded(plain, bands, rows)):
+                    lists[k] = list(dict.fromkeys(lists[k] + more.tolist()))
+                    sketches[k] += row.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(count.astype(np.int64)), pa.array(w1.view(np.int64)),
@@ -161,16 +177,23 @@ def _weighted(shingles: bytes, weights: bytes | None) -> tuple[np.ndarray, np.nd
     return elements, np.ones(len(elements), np.int64) if weights is None else np.frombuffer(weights, "<u4").astype(np.int64)
 
 
+def _sketches(rows: list[bytes]) -> np.ndarray:
+    """Weighted and unweighted registers of each row (row, signature, register); where only one is kept they are the same."""
+    registers = BANDS * ROWS
+    return np.frombuffer(b"".join(x if len(x) > registers else x + x for x in rows), np.uint8).reshape(len(rows), 2, registers)
+
+
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated similarity of sketches (last axis: a byte per register; bytes agree by chance once in 256)."""
-    return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
+    """Estimated similarity of sketches, the larger of both signatures (last axis: a byte per register; bytes agree by chance
+    once in 256)."""
+    return (((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)).max(axis=-1)
 
 
 def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs (two first columns) whose sketches (two last columns) agree in enough registers."""
     for batch in batches:
         if batch.num_rows:
-            sides = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3)]
+            sides = [_sketches(batch.column(k).to_pylist()) for k in (2, 3)]
             yield batch.select([0, 1]).filter(pa.array(_agreement(*sides) >= SCREEN))
 
 
@@ -204,7 +227,7 @@ def _chunk_links(similarity: float):
         for batch in batches:
             for row in range(batch.num_rows):  # one pair of chunks at a time, so that no more are held as objects
                 outside, every = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                sketches = [np.frombuffer(b"".join(x["sketch"] for x in side), np.uint8).reshape(len(side), -1) for side in (outside, every)]
+                sketches = [_sketches([x["sketch"] for x in side]) for side in (outside, every)]
                 parent: dict[int, int] = {}
 
                 def root(node: int) -> int:

@@ -125,3 +125,16 @@ def test_components(spark):
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {i: find(i) for i in list(root) if find(i) != i}
     assert components(spark.createDataFrame([], "a long, b long")).agg(F.count("*")).first()[0] == 0
+
+
+def test_copies_with_a_repeated_line(spark):
+    """Pairs that only the plain similarity links: one copy says a line over and over."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(0, 40, 2):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(304)]
+        line = " ".join(f"r{rng.randrange(10**6)}" for _ in range(8))
+        rows += [(i, " ".join(words)), (i + 1, " ".join(words) + f" {line}" * 60)]
+    expected = plain_classes(rows)
+    assert expected == {i: i - i % 2 for i in range(40)}
+    assert classes(edges.frame(spark, rows)) == expected
