@@ -5,6 +5,11 @@ and of calling it boilerplate; these are the capacities to the two terminals. Ne
 the same parent, are joined by edges whose capacity is paid where the labels differ. The minimum cut is the cheapest
 labelling, so a short paragraph in the middle of an article stays, and a long sentence among menu entries goes.
 
+Script, style, nav, hidden elements and the like are surely boilerplate. The names of a wrapper (class, id, role) and a form only
+cost: a block below pays the more, the smaller the share of the page's prose that stands below wrappers of those names, so a
+layout div or page-wide form that holds the article costs next to nothing and an advertisement in it much. Articles and mains
+below the fewest such wrappers are free of them; others, such as comments, are not.
+
 Nodes whose terminal capacities differ by more than all their edges carry are labelled at once, which is exact and moves
 their edges to the neighbours' terminals; augmenting paths solve what remains.
 
@@ -32,7 +37,7 @@ BLOCK = frozenset(
     " summary table tbody td tfoot th thead tr ul".split()
 )
 DROPPED = frozenset(
-    "applet audio button canvas embed form head iframe input map math noscript object script select style svg template"
+    "applet audio button canvas embed head iframe input map math noscript object script select style svg template"
     " textarea title video".split()
 )
 RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
@@ -50,6 +55,7 @@ TAG = re.compile(
 )
 NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|aria-label|itemprop|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 WHITE = re.compile(r"\s+")
+DIGITS = re.compile(r"\d+")
 
 # What the names of classes, ids and roles say.
 AGAINST = frozenset(
@@ -67,40 +73,54 @@ NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SENTENCE = re.compile(r"[.!?…。]")
 NOTICE = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved|cookies?\b.{0,40}\b(?:accept|consent|policy|use)|sign up|subscribe to|log in\b", re.I)
 
-SURE, NEAR, SIBLING, INSIDE = 40.0, 2.0, 1.0, 6.0
+SURE, NEAR, SIBLING, INSIDE, NAMED = 40.0, 2.0, 1.0, 6.0, 28.0
+ENOUGH = 20  # words of prose that a wrapper needs to be judged by its share
 
 
 class Block:
-    __slots__ = ("text", "linked", "kind", "parent", "against", "within")
+    """A text, how much of it is linked, its element and parent, and what its ancestors say: surely no content (against), names
+    that speak against it (vetoes), how many of these stand above each article (articles) and each name for content (marks)."""
+
+    __slots__ = ("text", "linked", "kind", "parent", "against", "vetoes", "articles", "marks", "within", "named")
+
+    def __init__(self, text: str, linked: int, kind: str, parent: int, above: tuple):
+        self.text, self.linked, self.kind, self.parent = text, linked, kind, parent
+        self.against, self.vetoes, self.articles, self.marks = above
+        self.within, self.named = False, 0.0
 
-    def __init__(self, text: str, linked: int, kind: str, parent: int, against: bool, within: bool):
-        self.text, self.linked, self.kind, self.parent, self.against, self.within = text, linked, kind, parent, against, within
+    def prose(self) -> int:
+        """Words, where the block reads like sentences."""
+        words = self.text.count(" ") + 1
+        plain = words >= 5 and self.linked <= 0.3 * len(self.text) and SENTENCE.search(self.text)
+        return words if plain and not self.against else 0
 
 
-def _name_says(attributes: str) -> tuple[bool, bool]:
-    """Whether the element's names speak against content, and whether they speak for it."""
-    against = for_ = False
+def _name_says(attributes: str) -> tuple[bool, frozenset[str], bool]:
+    """Whether the element is hidden, which of its names speak against content, and whether they speak for it."""
+    hidden = for_ = False
+    against: set[str] = set()
     for name, value in NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            against = True
+            hidden = True
         elif name == "style":
-            against |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+            hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         elif name != "aria-label":
             whole = re.split(r"\s+", value)
             for word in whole:
                 parts = [x.lower() for x in NAME_PARTS.findall(word)] or [word.lower()]
                 joined = "".join(parts)
-                against |= joined in AGAINST or any(x in AGAINST for x in parts)
+                if joined in AGAINST or any(x in AGAINST for x in parts):
+                    against.add(DIGITS.sub("", word).lower())  # like names with other numbers are the same
                 for_ |= joined in FOR or parts[-1] in FOR
-    return against, for_ and not against
+    return hidden, frozenset(against), for_ and not against and not hidden
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's texts between block-level tags, with what their ancestors say."""
     found: list[Block] = []
-    # An open element: name, number, inside something that is not content, inside an article.
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    # An open element: name, number, and what it and its ancestors say (see Block).
+    stack: list[tuple[str, int, tuple]] = [("", 0, (False, (), (), ()))]
     number, pieces, linked, links, at = 0, [], 0, 0, 0
 
     def flush() -> None:
@@ -109,7 +129,7 @@ def blocks_of(page: str) -> list[Block]:
             text = WHITE.sub(" ", html.unescape("".join(pieces))).strip()
             pieces.clear()
             if text:
-                kind, parent, against, within = "", 0, stack[-1][2], stack[-1][3]
+                kind, parent = "", 0
                 for name, own, *_ in reversed(stack):
                     if name in BLOCK or not name:
                         if not kind:
@@ -117,7 +137,7 @@ def blocks_of(page: str) -> list[Block]:
                         else:
                             parent = own
                             break
-                found.append(Block(text, min(linked, len(text)), kind, parent, against, within))
+                found.append(Block(text, min(linked, len(text)), kind, parent, stack[-1][2]))
         linked = 0
 
     def close(depth: int) -> None:
@@ -176,32 +196,60 @@ def blocks_of(page: str) -> list[Block]:
         if attributes.rstrip().endswith("/") and name not in BLOCK and name != "a":
             continue
         number += 1
-        _, _, against, within = stack[-1]
+        against, vetoes, articles, marks = stack[-1][2]
         if name == "a":
             links += 1
         elif name in DROPPED:
             against = True
         elif name in BLOCK or name == "span":
-            says_no, says_yes = _name_says(attributes) if attributes.strip() else (False, False)
-            if name in ("article", "main"):
-                # A comment is often an article of its own below the first.
-                against, within = against or says_no, within or not (against or says_no)
-            elif name in SKIPPED:
-                against = against or not (name == "header" and within and not says_no)
+            hidden, says_no, says_yes = _name_says(attributes) if attributes.strip() else (False, frozenset(), False)
+            if name == "form":
+                says_no |= {"form"}
+            if name in SKIPPED:
+                against = against or hidden or not (name == "header" and (articles or marks) and not says_no)
             elif name not in ("html", "body"):
-                against, within = against or says_no, within or (says_yes and not against)
-        stack.append((name, number, against, within))
+                against = against or hidden
+                # Once for all wrappers of the same names in one another.
+                if says_no and says_no not in vetoes:
+                    vetoes += (says_no,)
+                if name in ("article", "main"):
+                    if len(vetoes) not in articles:
+                        articles += (len(vetoes),)
+                elif says_yes and len(vetoes) not in marks:
+                    marks += (len(vetoes),)
+        stack.append((name, number, (against, vetoes, articles, marks)))
     flush()
+    _judge(found)
     return found
 
 
+def _judge(blocks: list[Block]) -> None:
+    """Sets which blocks are inside an article, and what the names of wrappers around each cost."""
+    prose = [b.prose() for b in blocks]
+    # A comment is often an article of its own below the first.
+    inside = [b for b in blocks if b.articles and not b.against]
+    told = [b for b, n in zip(blocks, prose) if n and b.articles]
+    least = min((b.articles[0] for b in told or inside), default=None)
+    total, below = sum(prose), {}
+    for block, n in zip(blocks, prose):
+        free = least if least in block.articles else 0
+        block.within = not block.against and (least in block.articles or any(k <= free for k in block.marks))
+        block.vetoes = block.vetoes[free:]
+        for names in block.vetoes:
+            below[names] = below.get(names, 0) + n
+    for block in blocks:
+        for names in block.vetoes:
+            share = below[names] / max(total, 1) * min(below[names] / ENOUGH, 1.0)
+            block.named = max(block.named, NAMED * (1 - share) ** 2)
+
+
 def costs(block: Block, has_article: bool) -> tuple[float, float]:
     """What it costs to call the block boilerplate, and to call it content."""
     if block.against:
         return 0.0, SURE
     length = len(block.text)
     density = block.linked / max(length, 1)
-    content, boilerplate = 0.5, 0.5
+    content, boilerplate = 0.5, 0.5 + block.named
     if block.within:
         content += INSIDE
     elif has_article:
@@ -279,7 +327,7 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
 
 def main_text(page: str) -> str:
     blocks = blocks_of(page)
-    has_article = any(b.within and not b.against for b in blocks)
+    has_article = any(b.within and not b.vetoes for b in blocks)
     terminal = [costs(b, has_article) for b in blocks]
     edges, last = [], {}
     for k, block in enumerate(blocks):

@@ -71,3 +71,23 @@ def test_cut_is_minimal():
 
         best = min(cost(side) for side in itertools.product((True, False), repeat=n))
         assert abs(cost(pages.minimum_cut(source, sink, edges)) - best) < 1e-9
+
+
+def test_names_of_wrappers_do_not_take_the_article():
+    """A layout wrapper or page-wide form goes by what stands below it; advertisements and comments in it still go."""
+    paragraphs = [f"{LONG} It was report number {k}." for k in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in paragraphs)
+    ad = '<div class="ad-slot"><p>Buy the finest shoes in town today, now cheaper than ever.</p></div>'
+    comments = f'<section id="comments"><article><p>{LONG} So says a reader.</p></article></section>'
+    nav = '<nav><ul><li><a href="/">Home</a><li><a href="/a">Archive of everything we have</a></ul></nav>'
+    side = '<div class="sidebar"><p>Related stories that you may like are listed here for you.</p></div>'
+    for wrapper in ('div class="layout has-sidebar"', 'form id="aspnetForm"', 'div class="post-message"', 'div class="review-body"'):
+        end = wrapper.split()[0]
+        for tag in ("article", "main"):
+            page = f"<body>{nav}<{wrapper}><{tag}>{body}{ad}</{tag}>{comments}{side}</{end}><footer><p>All about us.</p></footer></body>"
+            assert pages.main_text(page).split("\n") == paragraphs
+        assert pages.main_text(f"<body>{nav}<{wrapper}>{body}{ad}</{end}{'>'}{side}</body>").split("\n") == paragraphs
+    thread = "".join(f'<div class="post-message"><p>{x}</p></div>' for x in paragraphs)
+    assert pages.main_text(f"<body>{nav}{thread}{side}</body>").split("\n") == paragraphs
+    assert pages.main_text(f'<body><form class="login" hidden><article>{body}</article></form></body>') == ""
+    assert pages.main_text(f"<body><nav><article>{body}</article></nav><script>{body}</script></body>") == ""
