@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
@@ -68,6 +69,9 @@ _CUT[_DIGIT, [_DIGIT, _OTHER, _SPACE]] = _CUT[[_OTHER, _SPACE], _DIGIT] = True
 _CUT[_SPACE, [0, _OTHER]] = _CUT[[0, _OTHER], _SPACE] = True
 
 
+_PLAIN = re.compile(rb"[a-z]+|[!-&(-/:-@\[-`{-~]+")
+
+
 class _Words:
     """Ids of single words, as little-endian 32-bit values. The tokenizer never merges across the cuts above."""
 
@@ -77,7 +81,7 @@ class _Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-        # A lone digit is an id of its own and never part of a word: it marks where the next word begins.
+        # A lone digit is an id of its own: between words of letters or of signs it marks where the next one begins.
         (self.mark,) = self.whole("0")
         self.special = [x.content.encode().lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -91,15 +95,16 @@ class _Words:
         found = list(map(known.get, words))
         missing = [i for i, x in enumerate(found) if x is None]
         if missing:
-            # Digits are words of one byte: they are looked up by themselves.
-            alone = [i for i in missing if words[i].isdigit()]
-            for i in alone:
-                found[i] = known[words[i]] = np.array(self.whole(words[i].decode()), "<u4").tobytes()
-            together = [i for i in missing if not words[i].isdigit()]
+            # Words without a byte that may be read as a digit share one call; all others are read each by itself.
+            together = [i for i in missing if _PLAIN.fullmatch(words[i])]
+            plain = set(together)
+            apart = [i for i in missing if i not in plain]
+            for i, own in zip(apart, self.tokenizer.encode_batch_fast([words[i].decode() for i in apart], add_special_tokens=False)):
+                found[i] = known[words[i]] = np.array(own.ids, "<u4").tobytes()
             all_ids = np.array(self.whole((b" 0 ".join([words[i] for i in together]) + b" 0").decode()), "<u4")
             ends = np.flatnonzero(all_ids == self.mark)
             flat, begin = all_ids.tobytes(), 0
-            for i, end in zip(together, ends.tolist()):
+            for i, end in zip(together, ends[: len(together)].tolist()):
                 found[i] = known[words[i]] = flat[4 * begin : 4 * end]
                 begin = end + 1
         return found
@@ -333,7 +338,10 @@ RUNS = "length long, _from long, _to long, _each long, _sequence long, _offset l
 
 
 def packed(parts: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """The parts (any columns, `length` among them) with sequence_id and offset. Call it on a stored table."""
+    """The parts (any columns, `length` among them) with sequence_id and offset. Call it on a stored table.
+
+    Parts of one length are dealt out and numbered by the columns of `order`; those should tell rows apart.
+    """
     spark = parts.sparkSession
     counts = {row["length"]: row["n"] for row in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     sizes = spark.createDataFrame(
@@ -341,7 +349,7 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] =
     )
     runs = spark.createDataFrame(packing_plan(counts, capacity), RUNS)
     # Both tables have a proven bound: a row per length, and a bounded number of runs per length.
-    sliced = parts.join(F.broadcast(sizes), "length").withColumn("_slice", F.expr("pmod(xxhash64(doc_id, piece), _slices)"))
+    sliced = parts.join(F.broadcast(sizes), "length").withColumn("_slice", F.expr(f"pmod(xxhash64({', '.join(order)}), _slices)"))
     counted = sliced.groupBy("length", "_slice").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
     bases = counted.select("length", "_slice", F.coalesce(before, F.lit(0)).alias("_base"))
@@ -362,4 +370,6 @@ def pack_documents(
 ) -> DataFrame:
     """Pieces with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and `ids` unless left out."""
     cut = pieces(docs, id_col, text_col, tokenizer, capacity).withColumn("ids_crc32", F.crc32("ids"))
-    return packed(written(cut if keep_ids else cut.drop("ids"), "pieces"), capacity)
+    # Ids may be null or repeated: a stored row number tells the pieces apart.
+    stored = written((cut if keep_ids else cut.drop("ids")).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    return packed(stored, capacity, ("doc_id", "piece", "_row")).drop("_row")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import itertools
 import random
 import zlib
@@ -13,9 +14,13 @@ from tokenizers import Tokenizer
 from keyvigil.llm import packing
 
 
+@functools.cache
+def tokenizer():
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def plain_ids(text):
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def check(rows, found, capacity):
@@ -50,6 +55,24 @@ def test_odd_cases_and_given_documents(spark):
     assert by_piece[3, 0] == np.array(plain_ids("one"), "<u4").tobytes()
 
 
+ODD = [
+    "the '05 class", "hello world again", "10€ or 20 €", "0° and 30°C", "pages 10–20", "café0", "“0”", "0", "'0'", "0'0 0",
+    "it's 1990's", "x0é0y", "０ １２", "٠١٢", "a\u00000b", "don't 0 can't", "", " ",
+]
+
+
+def test_ids_of_mixed_words_in_one_batch():
+    """All texts share one call, so that a word read wrongly would spoil those after it."""
+    rng = random.Random(11)
+    signs = "abcXYZ0019'’“”€°–éßçñİſǅ中文0٠０ \t\n.,!?#-_<|>½²①\u200b\u0301\x7f\x01"
+    texts = ODD + ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    texts += ["".join(chr(c) for c in (rng.randrange(1, 0x3000) for _ in range(20)) if not 0xD800 <= c < 0xE000) for _ in range(1000)]
+    words = packing._Words(public_tokenizers.path("word_bpe_49k.json"))
+    ids, bounds = packing._tokenised([t.encode() for t in texts], words, 1)
+    for k, own in enumerate(tokenizer().encode_batch(texts, add_special_tokens=False)):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == [*own.ids, 1], texts[k]
+
+
 def test_small_capacity_cuts_pieces(spark):
     rows = [(i, edges.sentence(random.Random(i), i)) for i in range(40)]
     check(rows, packing.pack_documents(edges.frame(spark, rows), capacity=32).collect(), 32)
