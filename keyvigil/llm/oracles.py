@@ -1,5 +1,7 @@
 """SQL of the corpus queries that SQL can express, read straight from their contracts."""
 
+from keyvigil.llm import licenses
+
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 TRIM = r"regexp_replace({0}, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -187,9 +189,121 @@ FROM documents LEFT JOIN listed ON documents.doc_id = listed.doc_id
 """
 
 
+
+def _codes() -> str:
+    """Vector codes: rounds one after the other, distances from dot products of whole numbers (exact as doubles)."""
+    nearest = """
+a{k} AS (
+  SELECT rn, p, min({{'d': list_dot_product(c, c) - 2 * list_dot_product(x, c), 'e': e}}) AS best
+  FROM parts JOIN b{k} USING (p) GROUP BY rn, p
+)"""
+    book = """
+m{k} AS (
+  SELECT p, best.e AS e, i, floor(sum(x[i]) / count(*)) AS v
+  FROM (SELECT parts.p, best, x, unnest(range(1, len(x) + 1)) AS i FROM parts JOIN a{j} ON parts.rn = a{j}.rn AND parts.p = a{j}.p)
+  GROUP BY p, best.e, i
+),
+b{k} AS (
+  SELECT b{j}.p, b{j}.e, coalesce(n.c, b{j}.c) AS c
+  FROM b{j} LEFT JOIN (SELECT p, e, list(v ORDER BY i) AS c FROM m{k} GROUP BY p, e) n ON b{j}.p = n.p AND b{j}.e = n.e
+)"""
+    steps = [nearest.format(k=0)]
+    for k in range(1, 5):
+        steps += [book.format(k=k, j=k - 1), nearest.format(k=k)]
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rn,
+         list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS (
+  SELECT rn, vec_id, label, p, q[p * (len(q) // 4) + 1 : (p + 1) * (len(q) // 4)] AS x FROM kept, range(4) t(p)
+),
+b0 AS (SELECT p, rn - 1 AS e, x AS c FROM parts WHERE rn <= 256),
+{",".join(steps)},
+coded AS (
+  SELECT parts.rn, any_value(vec_id) AS vec_id, any_value(label) AS label,
+         string_agg(printf('%02x', best.e), '' ORDER BY parts.p) AS code,
+         sum(best.d + list_dot_product(x, x))::BIGINT AS error
+  FROM parts JOIN a4 ON parts.rn = a4.rn AND parts.p = a4.p GROUP BY parts.rn
+),
+flat AS (SELECT p, e, unnest(c)::BIGINT AS v, unnest(range(len(c))) AS i FROM b4)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, e, i)) FROM flat) AS codebooks_sha256
+FROM coded
+"""
+
+
+def _licences() -> str:
+    """Licence notices, with the templates as tables of words and key phrases."""
+    listed = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    templates = [(k, label, len(text.split()), licenses.least_places(len(text.split()))) for k, (label, text, _) in enumerate(licenses.TEMPLATES)]
+    numbers = {phrase: k for k, phrase in enumerate(licenses.phrases())}
+    needed = [(k, numbers[key]) for k, (_, _, keys) in enumerate(licenses.TEMPLATES) for key in keys]
+    base = [(numbers[p], label) for p, label in licenses.BASE.items()]
+    key_words = [(numbers[p], t, w, len(p.split())) for p in numbers for t, w in enumerate(p.split())]
+    return f"""
+WITH postings(word, template, place) AS (VALUES {listed(licenses.postings())}),
+templates(template, label, size, least) AS (VALUES {listed(templates)}),
+needed(template, phrase) AS (VALUES {listed(needed)}),
+key_places(template, phrase, place) AS (VALUES {listed(licenses.key_places())}),
+base(phrase, label) AS (VALUES {listed(base)}),
+key_words(phrase, t, word, size) AS (VALUES {listed(key_words)}),
+known AS (SELECT word FROM postings UNION SELECT word FROM key_words),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'),
+         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  FROM documents
+),
+each AS (SELECT r, unnest(words) AS word, unnest(range(len(words))) AS pos FROM docs),
+hits AS (SELECT r, word, pos FROM each WHERE word IN (SELECT word FROM known)),
+keys AS (
+  SELECT r, phrase, pos - t AS pos FROM hits JOIN key_words USING (word) GROUP BY r, phrase, pos - t HAVING count(*) = max(size)
+),
+df AS (SELECT word, count(DISTINCT r) AS n FROM hits GROUP BY word),
+chosen AS (
+  SELECT r, word FROM (
+    SELECT r, word, n, row_number() OVER (PARTITION BY r ORDER BY n, word) AS k
+    FROM (SELECT DISTINCT r, word FROM hits) JOIN df USING (word)
+  ) WHERE k <= {licenses.TOP} OR n * {licenses.RARE} <= (SELECT count(*) FROM docs)
+),
+entries AS (
+  SELECT hits.r, template, pos - place AS start, count(*) AS places
+  FROM hits JOIN chosen USING (r, word) JOIN postings USING (word) GROUP BY hits.r, template, pos - place
+),
+verified AS (
+  SELECT entries.r, entries.template, places FROM entries JOIN templates USING (template)
+  WHERE places >= least
+    AND EXISTS (SELECT 1 FROM key_places JOIN keys ON key_places.phrase = keys.phrase
+                WHERE key_places.template = entries.template AND keys.r = entries.r AND keys.pos = entries.start + key_places.place)
+    AND NOT EXISTS (SELECT 1 FROM needed WHERE needed.template = entries.template
+                    AND NOT EXISTS (SELECT 1 FROM keys WHERE keys.r = entries.r AND keys.phrase = needed.phrase))
+),
+of_notice AS (
+  SELECT r, label, places / size AS share FROM verified JOIN templates USING (template)
+),
+of_base AS (
+  SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM keys JOIN base USING (phrase) GROUP BY r
+),
+of_all AS (
+  SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT r, label FROM of_notice UNION SELECT r, label FROM keys JOIN base USING (phrase)) GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE round(coalesce(share, 0), 6) END::DOUBLE AS score
+FROM docs LEFT JOIN of_base USING (r) LEFT JOIN of_all USING (r)
+     LEFT JOIN (SELECT r, max(share) AS share FROM of_notice GROUP BY r) USING (r)
+"""
+
+
 LLM_ORACLES: dict[str, str] = {
     "op2_substring_dedup": SUBSTRINGS,
     "op4_line_dedup": LINES,
     "op7_quality_rules": QUALITY,
     "op9_personal_data": _personal_data(),
+    "op11_vector_codes": _codes(),
+    "op13_license_scan": _licences(),
 }
