@@ -19,6 +19,7 @@ from keyvigil.operators import (
     campaign,
     description,
     evaluation,
+    grid_learning,
     importance,
     learning,
     ordering,
@@ -36,21 +37,11 @@ from keyvigil.sources import tables
 from keyvigil.sources.adapter import PERIOD, SIGMAS, STAND_INS, Adapter
 from keyvigil.streaming import jobs
 
+SEARCH_SIGMA = 0.5
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Small forests and few rounds: the registered queries fit every replica on its whole training side.
-QUICK = {
-    learning.FOREST: {
-        "n_estimators": 10, "max_depth": 5, "min_samples_leaf": 1, "max_features": "sqrt", "class_weight": "balanced",
-    },
-    learning.BOOSTING: {
-        "n_estimators": 5, "max_depth": 3, "learning_rate": 0.1, "subsample": 1.0, "colsample_bytree": 1.0,
-        "class_weight": "balanced",
-    },
-}
-
-
 class Context(Adapter):
     """The adapter together with the audit job over it."""
 
@@ -905,20 +896,19 @@ def h3_holdout(c: Context) -> DataFrame:
     return shown(c.audit.holdout_alerts)
 
 
-def _models(c: Context, names: tuple[str, ...]) -> DataFrame:
-    configuration = {name: QUICK[name] for name in names}
-    models = learning.trained(c.audit.split, configuration)
-    return shown(learning.model_predictions(c.audit.split, models))
+def _models(c: Context, *names: str) -> DataFrame:
+    """Held-out decisions of every (seed, sigma) by the named models with a point of the published grid."""
+    return shown(grid_learning.grid_predictions(c.grid.split, {n: grid_learning.CONFIGURATION[n] for n in names}))
 
 
 @query("h4_random_forest")
 def h4(c: Context) -> DataFrame:
-    return _models(c, (learning.FOREST,))
+    return _models(c, learning.FOREST)
 
 
 @query("h5_boosted_trees")
 def h5(c: Context) -> DataFrame:
-    return _models(c, (learning.BOOSTING,))
+    return _models(c, learning.BOOSTING)
 
 
 @query("h6_class_weights")
@@ -933,14 +923,16 @@ def h7(c: Context) -> DataFrame:
     return placed.select("seed", LABEL, "session_id", "repeat", "fold")
 
 
+def _search(c: Context) -> DataFrame:
+    """Mean and deviation of all 168 configurations over 15 folds, on the training side of one run: first seed, sigma 0.5."""
+    train = c.grid.train.where(F.col("sigma") == SEARCH_SIGMA)
+    train = train.where(F.col("seed") == train.agg(F.min("seed")).scalar()).drop("seed", "sigma")
+    return learning.configuration_scores(grid_learning.search_scores(train))
+
+
 @query("h8_search")
 def h8(c: Context) -> DataFrame:
-    """Two configurations of each model over two folds of the pooled training sides."""
-    grids = {name: [QUICK[name], {**QUICK[name], "class_weight": None}] for name in QUICK}
-    train = c.audit.train.persist()
-    scores = learning.fold_scores(train, grids, by=(), fold_count=2, repeats=1)
-    train.unpersist()
-    return learning.configuration_scores(scores)
+    return _search(c)
 
 
 @query("h8_fold_aggregate")
@@ -948,13 +940,43 @@ def h8_aggregate(c: Context) -> DataFrame:
     return learning.configuration_scores(_fold_scores(c)).select("model", "position", "mean_f1", "std_f1")
 
 
+def _metrics_of_models(c: Context, decided: DataFrame) -> DataFrame:
+    """The models beside the rules on every holdout, measured by the same metrics. Predictions have a folder per run."""
+    root = new_folder(c.spark, "grid")
+    path = tables.write_table(decided, root, "model_predictions", partitioned_by=tables.GRID)
+    read = c.spark.read.schema(decided.schema).parquet(path)
+    long = evaluation.in_mechanisms(c.grid.holdout_alerts, read, learning.MODELS)
+    return evaluation.run_metrics(long, c.administrators)
+
+
 @query("h10_models")
 def h10(c: Context) -> DataFrame:
-    """Both models trained and decided on every holdout, then measured by the same metrics as the rules."""
-    models = learning.trained(c.audit.split, QUICK)
-    decided = learning.model_predictions(c.audit.split, models)
-    long = evaluation.in_mechanisms(c.audit.holdout_alerts, decided, learning.MODELS, ("seed",))
-    return evaluation.run_metrics(long, c.administrators, ("seed", "mechanism", "scope"))
+    """Both models trained for and decided on every (seed, sigma)."""
+    return _metrics_of_models(c, grid_learning.grid_predictions(c.grid.split))
+
+
+@query("h10_chosen_models")
+def h10_chosen(c: Context) -> DataFrame:
+    """From the search to the metrics: the chosen configuration is written, read back as text, and trained with."""
+    root = new_folder(c.spark, "configuration")
+    chosen = learning.configuration_table(_search(c))
+    read = tables.read_text_table(c.spark, tables.write_table(chosen, root, "configuration", layout="csv"))
+    return _metrics_of_models(c, grid_learning.grid_predictions(c.grid.split, learning.configuration_of(read)))
+
+
+@query("a3_configuration")
+def a3(c: Context) -> DataFrame:
+    """The chosen configuration of the stand-ins through its CSV file, each value with its kind."""
+    root = new_folder(c.spark, "configuration")
+    chosen = learning.configuration_table(learning.configuration_scores(_fold_scores(c)))
+    read = tables.read_text_table(c.spark, tables.write_table(chosen, root, "configuration", layout="csv"))
+    return learning.typed_configuration(read)
+
+
+@query("h9_grid_of_search")
+def h9(c: Context) -> DataFrame:
+    """Grid points that the fold table of the stand-ins has scores for, with the number of folds of each."""
+    return _fold_scores(c).groupBy("model", "position", "parameters").agg(F.count("*").alias("folds"))
 
 
 @query("h11_permutations")
@@ -971,17 +993,17 @@ def h12(c: Context) -> DataFrame:
     return importance.rule_importance(c.audit.holdout, c.audit.thresholds)
 
 
+@query("h12_model_importance")
+def h12_models(c: Context) -> DataFrame:
+    """The three mechanisms of every (seed, sigma): the rules with their thresholds, both models trained anew."""
+    rules_lost = importance.rule_importance(c.grid.holdout, c.grid.thresholds, by=grid_learning.RUN)
+    return grid_learning.grid_importance(c.grid.split).select(*rules_lost.columns).unionByName(rules_lost)
+
+
 @query("h12_forest_importance")
 def h12_forest(c: Context) -> DataFrame:
-    """One forest on the pooled training sides, measured replica by replica."""
-    model = learning.fitted(
-        learning.FOREST, QUICK[learning.FOREST], c.audit.train, learning.training_seed(("pooled",), learning.FOREST)
-    )
-    return importance.model_importance(
-        c.audit.holdout,
-        lambda rows: learning.scored(model, rows),
-        learning.FOREST,
-    )
+    configuration = {learning.FOREST: grid_learning.CONFIGURATION[learning.FOREST]}
+    return grid_learning.grid_importance(c.audit.split, configuration, by=("seed",))
 
 
 @query("h13_paired_differences")
@@ -1006,6 +1028,16 @@ def h14(c: Context) -> DataFrame:
     )
 
 
+@query("h14_model_comparison")
+def h14_models(c: Context) -> DataFrame:
+    """The comparison on trained models instead of the stand-ins, with the one-cut tree of every run."""
+    metrics = written(_metrics_of_models(c, grid_learning.grid_predictions(c.grid.split)), "metrics")
+    cuts = written(stump.decision_stump(c.grid.split, grid_learning.RUN), "stumps")
+    return evaluation.comparison(metrics, cuts, learning.MODELS).withColumns(
+        {"excluded": F.col("excluded").cast("int"), "significant": F.col("significant").cast("int")}
+    )
+
+
 @query("h15_evaluation")
 def h15(c: Context) -> DataFrame:
     """The four result tables of the whole grid, as one long summary of their measures."""

@@ -761,6 +761,12 @@ BODIES: dict[str, str] = {
           WHERE phase = 'evaluated')) p LEFT JOIN a_labels b ON p.session_id = b.session_id""",
     "e7_chosen_configuration": """SELECT model, position, mean_f1, std_f1 FROM o_configurations
         QUALIFY row_number() OVER (PARTITION BY model ORDER BY mean_f1 DESC, std_f1, position) = 1""",
+    "a3_configuration": """SELECT model, 'sigma' AS parameter, CAST(position / 2 AS VARCHAR) AS value, 'real' AS kind,
+        CAST(NULL AS BIGINT) AS integer_value, position / 2 AS real_value FROM o_configurations
+        QUALIFY row_number() OVER (PARTITION BY model ORDER BY mean_f1 DESC, std_f1, position) = 1""",
+    "h9_grid_of_search": """SELECT mechanism AS model, CAST(sigma * 2 AS INTEGER) AS position,
+        concat('sigma=', CAST(sigma AS VARCHAR)) AS parameters, count(DISTINCT (repeat, fold)) AS folds
+        FROM o_folds GROUP BY ALL""",
     "e8_most_important": """SELECT 'rules' AS mechanism, CASE WHEN m < 0.01 THEN 'none' ELSE attribute END AS attribute,
         round_even(m, 6) AS median_drop FROM (SELECT attribute, quantile_cont(f1_drop, 0.5) AS m FROM o_importance
         GROUP BY attribute) QUALIFY row_number() OVER (ORDER BY m DESC, list_position(["""

@@ -100,6 +100,11 @@ def write_table(
     return path
 
 
+def read_text_table(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV table whose cells all stay text: "None" and "2" are read as written, nothing is guessed."""
+    return spark.read.options(**CSV_OPTIONS).csv(path)
+
+
 def of_run(table: DataFrame, seed: int, sigma: float) -> DataFrame:
     """The rows of one run without the grid columns."""
     return table.where((F.col("seed") == seed) & (F.col("sigma") == sigma)).drop(*GRID)
