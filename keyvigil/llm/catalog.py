@@ -26,7 +26,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.decontaminated(_documents(spark, sf_dir), benchmark, free_end=True)
+    return decontamination.decontaminated(_documents(spark, sf_dir), benchmark)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

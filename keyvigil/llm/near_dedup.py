@@ -302,14 +302,17 @@ def _public(column: str) -> Column:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Per row of `docs` (the result of `identified`): id, key, n_words, class_id (the smallest id of its class)."""
+    """Per row of `docs` (the result of `identified`): id, key, n_words, class_id (the smallest id of its class) and `stays`.
+
+    The one that stays has the smallest (id, key), so also among null or repeated ids it is one text; rows equal in both are
+    copies of each other and get the same answer.
+    """
     signs = written(signed(docs), "signatures")
     worded = signs.where("n_words > 0")
     nodes = written(
         worded.groupBy("w1", "w2").agg(
-            F.min(ID).alias("least_id"), F.min_by(KEY, ID).alias("least_key"), F.first("bands").alias("bands"),
-            F.first("sketch").alias("sketch"),
-        ).withColumn("node", F.monotonically_increasing_id()),
+            F.min(F.struct(ID, KEY)).alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
+        ).withColumns({"least_id": F.col(f"least.{ID}"), "least_key": F.col(f"least.{KEY}")}).drop("least").withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
 
@@ -319,12 +322,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         return texts.mapInArrow(_packed, PACKED).dropDuplicates(["node"])
 
     roots = links(nodes.select("node", "bands", "sketch"), packed_of, similarity)
-    rooted = nodes.join(roots, "node", "left").select("w1", "w2", "least_id", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    named = rooted.join(least, "root").select("w1", "w2", "class_id")
+    rooted = nodes.join(roots, "node", "left").select("w1", "w2", "least_id", "least_key", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min(F.struct("least_id", "least_key")).alias("least"))
+    named = rooted.join(least, "root").select("w1", "w2", F.col("least.least_id").alias("class_id"), F.col("least.least_key").alias("_class_key"))
+    stays = ((F.col(ID) == F.col("class_id")) & (F.col(KEY) == F.col("_class_key"))).alias("stays")
     return (
-        worded.select(ID, KEY, "n_words", "w1", "w2").join(named, ["w1", "w2"]).select(ID, KEY, "n_words", "class_id")
-        .union(signs.where("n_words = 0").select(ID, KEY, "n_words", F.col(ID).alias("class_id")))
+        worded.select(ID, KEY, "n_words", "w1", "w2").join(named, ["w1", "w2"]).select(ID, KEY, "n_words", "class_id", stays)
+        .union(signs.where("n_words = 0").select(ID, KEY, "n_words", F.col(ID).alias("class_id"), F.lit(True).alias("stays")))
     )
 
 
@@ -332,6 +336,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row: doc_id, n_words, class_id and whether it is the document that stands for its class."""
     found = classes(identified(docs, id_col, text_col), similarity)
     return found.select(
-        _public(ID).alias("doc_id"), "n_words", _public("class_id").alias("class_id"),
-        (F.col(ID) == F.col("class_id")).alias("stays"),
+        _public(ID).alias("doc_id"), "n_words", _public("class_id").alias("class_id"), "stays",
     )

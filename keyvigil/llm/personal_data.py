@@ -12,6 +12,8 @@ read whole; other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,24 +80,60 @@ def _confirmed(kind: str, hit: Column) -> Column:
     return mod97(hit) if kind == "iban" else F.lit(True)
 
 
+# Matches that are placed together, and characters of a text that are looked up together: a place is never sought from
+# the beginning of a long text.
+SLICE, CHUNK = 256, 4096
+
+
+def _measured(kind: str) -> Column:
+    """Every match with its length and that of the text before it."""
+    return F.zip_with(
+        f"_hits_{kind}", F.slice(f"_gaps_{kind}", F.lit(1), F.size(f"_hits_{kind}")),
+        lambda h, g: F.struct(h.alias("hit"), F.length(g).alias("gap"), F.length(h).alias("n")),
+    )
+
+
+def _sliced(kind: str) -> Column:
+    """The matches in slices, as an array only grows inside one slice."""
+    each = F.col(f"_measured_{kind}")
+    return F.when(F.size(each) > 0, F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(each) - 1) / SLICE).cast("int")), lambda k: F.slice(each, k * SLICE + 1, F.lit(SLICE))
+    )).otherwise(F.array().cast("array<array<struct<hit:string,gap:int,n:int>>>"))
+
+
+def _bases(kind: str) -> Column:
+    """Where each slice begins in the text."""
+    totals = F.transform(f"_slices_{kind}", lambda s: F.aggregate(s, F.lit(0), lambda at, x: at + x["gap"] + x["n"]))
+    return F.aggregate(
+        totals, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")),
+        lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["found"], s["at"]).alias("found")),
+        lambda s: s["found"],
+    )
+
+
 def _spans(kind: str) -> Column:
     """Start, end and text of every confirmed match, from the columns of matches and of the text between them."""
-    walked = F.expr(
-        f"""aggregate(
-            zip_with(_hits_{kind}, slice(_gaps_{kind}, 1, size(_hits_{kind})),
-                     (h, g) -> named_struct('hit', h, 'gap', length(g), 'n', length(h))),
-            named_struct('at', 0, 'found', cast(array() as array<struct<start:int,end:int,hit:string>>)),
-            (s, x) -> named_struct('at', s.at + x.gap + x.n, 'found', array_append(s.found,
-                named_struct('start', s.at + x.gap, 'end', s.at + x.gap + x.n, 'hit', x.hit))),
-            s -> s.found)"""
-    )
-    return F.filter(walked, lambda s: _confirmed(kind, s["hit"]))
+    nothing = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+
+    def walked(part: Column, base: Column) -> Column:
+        return F.aggregate(
+            part, F.struct(base.alias("at"), nothing.alias("found")),
+            lambda s, x: F.struct((s["at"] + x["gap"] + x["n"]).alias("at"), F.array_append(s["found"], F.struct(
+                (s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["n"]).alias("end"), x["hit"].alias("hit")
+            )).alias("found")),
+            lambda s: s["found"],
+        )
+
+    found = F.flatten(F.zip_with(f"_slices_{kind}", f"_bases_{kind}", walked))
+    return F.filter(found, lambda s: _confirmed(kind, s["hit"]))
 
 
 def _scored(kind: str) -> Column:
     def score(s: Column) -> Column:
-        first = F.greatest(s["start"] - NEAR, F.lit(0))
-        near = F.lower(F.substr(F.col("_text"), first + 1, s["end"] - first + NEAR))
+        first, last = F.greatest(s["start"] - NEAR, F.lit(0)), s["end"] + NEAR
+        chunk, end = F.floor(first / CHUNK).cast("int"), F.floor(last / CHUNK).cast("int")
+        around = F.array_join(F.slice("_chunks", chunk + 1, end - chunk + 1), "")
+        near = F.lower(F.substr(around, first - chunk * CHUNK + 1, last - first))
         return (
             F.lit(SCORES[kind])
             + F.when(near.rlike(CONTEXT[kind]), MORE).otherwise(0.0)
@@ -123,8 +161,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for kind in KINDS:
         rows = rows.withColumn(f"_gaps_{kind}", F.when(
             F.size(f"_hits_{kind}") > 0, F.split(text, PATTERNS[kind], -1)).otherwise(nothing))
-    for kind in KINDS:
-        rows = rows.withColumn(f"_spans_{kind}", _spans(kind))
+    for column, made in (("measured", _measured), ("slices", _sliced), ("bases", _bases), ("spans", _spans)):
+        rows = rows.withColumns({f"_{column}_{kind}": made(kind) for kind in KINDS})
+    found = reduce(lambda a, b: a | b, [F.size(f"_spans_{kind}") > 0 for kind in KINDS])
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    rows = rows.withColumn("_chunks", F.when(found, chunks))
     return rows.select("doc_id", F.concat(*[_scored(kind) for kind in KINDS]).alias("found"))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyvigil.llm.common import ID, KEY, LOWEST_ID, TEXT, WHITE, WHITE_RUN, id_back
+from keyvigil.llm.line_dedup import BITS
 from keyvigil.session import written
 
 MIN_WORDS = 50
@@ -77,14 +78,15 @@ def text_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.xxhash64(host.isNull(), F.coalesce(host, F.lit(""))).alias(HOST),
         text.alias(TEXT),
     )
-    worded = F.filter(F.split(F.col(TEXT), "\n", -1), lambda x: F.trim(x, F.lit(WHITE)) != "")
+    placed = F.transform(F.split(F.col(TEXT), "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    worded = F.filter(placed, lambda s: F.trim(s["x"], F.lit(WHITE)) != "")
     split = rows.withColumn("_words", _words(F.col(TEXT))).withColumn("_worded", worded)
     n_words = F.size("_words")
     failed = (n_words < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * n_words)
     lines = F.transform(
         "_worded",
-        lambda x: F.struct(
-            F.xxhash64(F.lower(F.trim(x, F.lit(WHITE)))).alias("h"), F.size(_words(x)).alias("n")
+        lambda s: F.struct(
+            s["i"].alias("i"), F.xxhash64(F.lower(F.trim(s["x"], F.lit(WHITE)))).alias("h"), F.size(_words(s["x"])).alias("n")
         ),
     )
     return _with_repeated_words(split).select(
@@ -92,7 +94,7 @@ def text_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         n_words.cast("long").alias("n_words"),
         F.aggregate("_words", F.lit(0).cast("long"), lambda n, w: n + F.length(w)).alias("word_chars"),
         F.length(F.regexp_replace(TEXT, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
-        (F.size("_worded") - F.size(F.array_distinct("_worded"))).cast("long").alias("n_dup_lines"),
+        (F.size("_worded") - F.size(F.array_distinct("_worded.x"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
         failed.alias("base_failed"),
         lines.alias("lines"),
@@ -113,14 +115,19 @@ def verdicts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
     limit: int = LINE_LIMIT, share: float = LINE_SHARE,
 ) -> DataFrame:
-    """Per row: ID, KEY, the base figures, n_boilerplate (words in removed lines), base_failed and kept."""
+    """Per row: ID, KEY, the base figures, n_boilerplate (words in removed lines), base_failed, kept, and `drops`: a bitmap of the
+    removed lines as `line_dedup` has them (null: none), from which `line_dedup.kept_text` makes the text that is left."""
     figures = written(text_figures(docs, id_col, text_col, host_col), "text-figures")
     common = boilerplate(figures, limit, share)
     lines = figures.select(ID, KEY, HOST, F.explode("lines").alias("line"))
-    lost = (
-        lines.select(ID, KEY, HOST, F.col("line.h").alias("h"), F.col("line.n").alias("n"))
+    found = (
+        lines.select(ID, KEY, HOST, F.col("line.i").alias("i"), F.col("line.h").alias("h"), F.col("line.n").alias("n"))
         .join(common, [HOST, "h"]).where(F.col(ID) != F.col("first_id"))
-        .groupBy(ID, KEY, HOST).agg(F.sum("n").alias("n_boilerplate"))
+        .groupBy(ID, KEY, HOST, F.expr(f"i div {BITS}").cast("int").alias("word"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, i % {BITS})")).alias("bits"), F.sum("n").alias("n"))
+    )
+    lost = found.groupBy(ID, KEY, HOST).agg(
+        F.sum("n").alias("n_boilerplate"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("drops")
     )
     # Repeated rows (equal id, text and host) would each be counted in the sum: share it among them.
     again = figures.groupBy(ID, KEY, HOST).agg(F.count("*").alias("_rows")).where("_rows > 1")

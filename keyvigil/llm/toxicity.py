@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyvigil.llm.common import TEXT, id_back, identified, joined_bytes, span_hashes
+from keyvigil.llm.common import ID, KEY, TEXT, id_back, identified, joined_bytes, span_hashes
 from keyvigil.llm.repeats import text_blocks
+from keyvigil.session import written
 
 MOST_LABELLED = 10_000
 MOST_FEATURES = 4096
@@ -167,13 +168,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     known = known_labels(labels)
     part = lambda value: known.where(F.col("toxic") == value).orderBy(F.xxhash64("_label_id"), "_label_id").limit(most)
     chosen = F.broadcast(part(0).union(part(1)))  # 2 * most rows at the most
-    rows = docs.join(chosen, docs["_doc_id"] == chosen["_label_id"])
-    return rows.select("toxic", F.lit(0).alias("_"), TEXT)
+    # Ids may be repeated in the documents: one row per text, and the bound holds for rows too.
+    rows = docs.join(chosen, docs["_doc_id"] == chosen["_label_id"]).dropDuplicates([ID, KEY, "toxic"])
+    bounded = [rows.where(F.col("toxic") == value).orderBy(F.xxhash64(ID), ID, KEY).limit(most) for value in (0, 1)]
+    return bounded[0].union(bounded[1]).select("toxic", F.lit(0).alias("_"), TEXT)
 
 
 def trained(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     """A model from the labelled texts among `docs` (the result of `identified`)."""
-    rows = training_rows(docs, labels, most)
+    rows = written(training_rows(docs, labels, most), "training-rows")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad:

@@ -155,7 +155,7 @@ def walk(points: Tree, book: np.ndarray, whole, leaf) -> None:
             slots = entries.levels[-1][others]
             heads = np.flatnonzero(np.diff(nodes, prepend=-1))
             sizes = np.diff(np.append(heads, len(nodes)))
-            by_far = np.lexsort((far, nodes))
+            by_far = np.lexsort((order[slots], far, nodes))
             best = np.repeat(slots[by_far[heads]], sizes)
             keep = ~_dominated(nodes, slots, best, points.boxes[level_p], ordered, order, width)
             nodes, others, slots = nodes[keep], others[keep], slots[keep]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import partial
 
 import brute
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyvigil.llm import line_dedup, personal_data, quality_rules, substring_dedup, suffix_dedup
+from keyvigil.llm.common import identified
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -100,6 +102,35 @@ def test_a_boilerplate_line_stays_in_its_first_document(spark):
     assert sorted(i for i, k in kept.items() if k) == [3, 300]
 
 
+def test_the_lines_of_a_boilerplate_are_removed(spark):
+    common = " ".join(f"b{i}" for i in range(9))
+    own = lambda i: "\n".join(f"word{i} " * 3 + " ".join(f"u{i}x{k}y{j}" for j in range(30)) for k in range(3))
+    texts = {i: f"{common}\n\n{own(i)}\n {common.upper()}\t\nend {i}" for i in range(70)}
+    frame = edges.frame(spark, [*texts.items(), (7, texts[7]), (None, "b0 " + own(99))]).withColumn("source", F.lit("one"))
+    verdicts = quality_rules.verdicts(frame)
+    known = identified(frame)
+    joined = known.join(verdicts.select("_doc_id", "_doc_key", "drops", "n_boilerplate", "kept").distinct(), ["_doc_id", "_doc_key"])
+    left = F.when(F.col("drops").isNull(), F.col("_doc_text")).otherwise(line_dedup.kept_text(F.col("_doc_text")))
+    rows = joined.select("_doc_id", left.alias("left"), "n_boilerplate", "kept").distinct().collect()
+    assert all(r["kept"] for r in rows) and len(rows) == 71
+    for r in rows:
+        if r["_doc_id"] in range(1, 70):
+            assert r["left"] == f"\n{own(r['_doc_id'])}\nend {r['_doc_id']}" and r["n_boilerplate"] == 18
+        elif r["_doc_id"] == 0:
+            assert r["left"] == texts[0] and r["n_boilerplate"] == 0
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Places and context at the end of a long text with 30,000 addresses, against a plain reading."""
+    text = " ".join(f"a{i}@b{i % 97}.cd" + (" mail" if i % 7 == 0 else "") for i in range(30_000))
+    frame = edges.frame(spark, [(1, text)])
+    found = personal_data.personal_data(frame).first()["found"]
+    spans = [(m.start(), m.end()) for m in re.finditer(brute.PLAIN["email"], text)]
+    assert [(s["start"], s["end"]) for s in found] == spans and len(spans) == 30_000
+    near = lambda a, b: re.search("mail|contact|write to|reach", text[max(a - 40, 0) : b + 40].lower())
+    assert [s["score"] for s in found] == [0.9 if near(a, b) else 0.7 for a, b in spans]
+
+
 def test_checksums(spark):
     row = spark.range(1).select(
         personal_data.luhn(F.lit("4111111111111111")).alias("a"), personal_data.luhn(F.lit("4111111111111112")).alias("b"),

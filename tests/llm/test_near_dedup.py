@@ -138,3 +138,16 @@ def test_copies_with_a_repeated_line(spark):
     expected = plain_classes(rows)
     assert expected == {i: i - i % 2 for i in range(40)}
     assert classes(edges.frame(spark, rows)) == expected
+
+
+def test_near_copies_with_null_or_repeated_ids_leave_one(spark):
+    rng = random.Random(31)
+    words = edges.sentence(rng, 120).split()
+    near = lambda k: " ".join([*words[:k], f"new{k}", *words[k + 1 :]])
+    rows = [(None, near(10)), (None, near(50)), (None, near(90)), (7, edges.sentence(rng, 60))]
+    found = near_dedup.near_duplicates(edges.frame(spark, rows)).collect()
+    assert [r["stays"] for r in found if r["doc_id"] is None].count(True) == 1
+    assert [r["stays"] for r in found if r["doc_id"] == 7] == [True]
+    rows = [(5, near(10)), (5, near(50)), (5, near(90)), (9, near(30))]
+    found = near_dedup.near_duplicates(edges.frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["stays"]) for r in found) == [(5, False), (5, False), (5, True), (9, False)]
