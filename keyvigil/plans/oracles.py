@@ -352,17 +352,31 @@ LEFT JOIN o_median_f1 rb ON rb.sigma = r.sigma AND rb.mechanism = 'rules' AND rb
 
 CTES["o_holdout"] = """
 SELECT *, row_number() OVER (PARTITION BY seed ORDER BY session_id) AS place FROM o_split WHERE side = 'holdout'"""
-CTES["o_orders"] = """
-SELECT h.seed, a.attribute, r.repeat, h.place AS from_place,
-       row_number() OVER (PARTITION BY h.seed, a.attribute, r.repeat ORDER BY md5(concat_ws('|', CAST(h.seed AS STRING),
-         a.attribute, CAST(r.repeat AS STRING), CAST(h.place AS STRING)))) AS to_place
+
+
+def _orders() -> str:
+    """The permutations, one subselect per round: x and its partner change places if a bit of the larger one says so."""
+    inner = """
+SELECT h.seed, a.attribute, r.repeat, h.place AS from_place, count(*) OVER (PARTITION BY h.seed, a.attribute, r.repeat) AS n,
+       (('0x' || substr(md5(CAST(h.seed AS VARCHAR)), 1, 7))::BIGINT * 31 + a.number * 104729 + r.repeat * 1299709) % 2147483647 AS k
 FROM o_holdout h
-CROSS JOIN (SELECT unnest([{names}]) AS attribute) a
-CROSS JOIN (SELECT unnest(range(1, 11)) AS repeat) r""".format(names=", ".join(f"'{a}'" for a in ATTRIBUTES))
+CROSS JOIN (SELECT unnest([{names}]) AS attribute, unnest(range({count})) AS number) a
+CROSS JOIN (SELECT unnest(range(1, 11)) AS repeat) r""".format(names=", ".join(f"'{a}'" for a in ATTRIBUTES), count=len(ATTRIBUTES))
+    sql = f"""SELECT *, ((from_place - 1) * CASE WHEN n % 1000003 <> 0 THEN 1000003 ELSE 999983 END + k) % n AS x FROM ({inner})"""
+    for i in range(1, 17):
+        partner = (
+            f"(((((k * 48271 + {i * 1299709}) % 2147483647) * 69621 % 2147483629) * 2147483647 + (k * 40692 + {i}) % 2147483629) % n - x + n) % n"
+        )
+        sql = f"""SELECT * EXCLUDE (x, y), CASE WHEN (((greatest(x, y) % 2147483647) * ((k * 69621 + {i * 40692}) % 2147483647 + 1)) % 2147483647)
+            * 48271 % 2147483629 % 2 = 1 THEN y ELSE x END AS x FROM (SELECT *, {partner} AS y FROM ({sql}))"""
+    return f"SELECT seed, attribute, repeat, from_place, x + 1 AS to_place FROM ({sql})"
+
+
+CTES["o_orders"] = _orders()
 _OWN = "CASE o.attribute " + " ".join(f"WHEN '{a}' THEN t.rule_{a}" for a in ATTRIBUTES) + " END"
 _THEIRS = "CASE o.attribute " + " ".join(f"WHEN '{a}' THEN f.rule_{a}" for a in ATTRIBUTES) + " END"
 CTES["o_importance"] = f"""
-SELECT a.seed, 'rules' AS mechanism, a.attribute, round_even(b.f1 - a.f1, 4) AS f1_drop
+SELECT a.seed, 'rules' AS mechanism, a.attribute, round_even(b.f1 - a.f1, 4) + 0.0E0 AS f1_drop
 FROM (SELECT seed, attribute, avg({_F1}) AS f1
       FROM (SELECT seed, attribute, repeat, {_confusion()}
             FROM (SELECT o.seed, o.attribute, o.repeat, t.compromised,
