@@ -140,8 +140,9 @@ class _Index:
         self.words, first = normal_words([text.encode() for _, text in items])
         count = np.diff(first)
         long_enough = count >= MIN_WORDS
-        numbers = np.array([number for number, _ in items], np.int64)
-        # Short items by their number of words: sorted hashes and ids.
+        self.item_ids = [number for number, _ in items]
+        numbers = np.arange(len(items))
+        # Short items by their number of words: sorted hashes and places among the items.
         self.short = {}
         for n in range(1, MIN_WORDS):
             at = np.flatnonzero(count == n)
@@ -207,7 +208,7 @@ class _Index:
         return tuple(np.concatenate(x) for x in zip(*found))
 
     def short_matches(self, words: np.ndarray, first: np.ndarray):
-        """Item ids with place and distance 0, for all windows that equal a short item."""
+        """Places of items with place of the window and distance 0, for all windows that equal a short item."""
         for n, (hashes, ids) in self.short.items():
             places = np.arange(max(len(words) - n + 1, 0))
             ends = first[np.searchsorted(first, places, side="right")]
@@ -221,7 +222,7 @@ class _Index:
             yield ids[entry], np.repeat(places, each), np.zeros(len(entry), np.int64)
 
     def matches(self, words: np.ndarray, first: np.ndarray):
-        """Item ids with place of the window and distance, for all windows of the block's documents that match."""
+        """Places of items with place of the window and distance, for all windows of the block's documents that match."""
         yield from self.short_matches(words, first)
         begins, lengths, sizes = self.windows(words, first)
         for part in range(0, len(begins), WINDOWS_AT_ONCE):
@@ -261,7 +262,7 @@ def _search(items: list[tuple[int, str]], share: float, repeats: int, samples: i
                     best = found.setdefault(d, {})
                     best[i] = min(best.get(i, (math.inf, 0)), (e, b - int(first[d])))
             rows = sorted(found)
-            lists = [sorted((i, b, e) for i, (e, b) in found[d].items()) for d in rows]
+            lists = [sorted((index.item_ids[i], b, e) for i, (e, b) in found[d].items()) for d in rows]
             taken = batch.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [
