@@ -1073,6 +1073,24 @@ def s2(c: Context) -> DataFrame:
     return shown(closed).select("seed", "session_id", "operator_id", "opened_at", *ATTRIBUTES[:6])
 
 
+def _redelivered(c: Context, closing: bool) -> DataFrame:
+    """The log of a stream that delivers every request twice."""
+    twice = c.requests.unionByName(c.requests)
+    stream = jobs.request_stream(c.spark, jobs.stage(twice, "redelivered", closing), c.requests.schema)
+    return jobs.streaming_decisions(jobs.without_repeats(stream), c.keys, c.grants, ("seed",), ())
+
+
+@query("s1_redelivered_outcomes")
+def s1_again(c: Context) -> DataFrame:
+    return jobs.run_available(_redelivered(c, closing=False).select("event_id", "outcome"), "s1-again")
+
+
+@query("s2_redelivered_sessions")
+def s2_again(c: Context) -> DataFrame:
+    closed = jobs.run_available(jobs.streaming_sessions(_redelivered(c, closing=True)), "s2-again")
+    return shown(closed).select("seed", "session_id", "operator_id", "opened_at", *ATTRIBUTES[:6])
+
+
 @query("s3_streaming_alerts")
 def s3(c: Context) -> DataFrame:
     frozen = c.audit

@@ -904,7 +904,9 @@ BODIES: dict[str, str] = {
         UNION ALL SELECT 'comparison', count(*), CAST(sum(seeds) AS BIGINT) FROM o_comparison
         UNION ALL SELECT 'timing', (SELECT count(DISTINCT mechanism) FROM a_timings), count(*) FROM a_timings""",
     "s1_streaming_outcomes": "SELECT event_id, outcome FROM a_log",
+    "s1_redelivered_outcomes": "SELECT event_id, outcome FROM a_log",
     "s2_streaming_sessions": f"SELECT seed, {IDS}, {', '.join(MAGNITUDE_ATTRIBUTES)} FROM o_whole_rated",
+    "s2_redelivered_sessions": f"SELECT seed, {IDS}, {', '.join(MAGNITUDE_ATTRIBUTES)} FROM o_whole_rated",
     "s3_streaming_alerts": f"SELECT seed, {IDS}, {FLAGS}, rules_fired, predicted FROM o_whole_alerts",
 }
 

@@ -27,10 +27,16 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir`, else the context's, else one in the warehouse.
 
-    The warehouse is shared by definition, so no folder of a single machine is ever chosen.
+    A warehouse on the local disk is shared only where everything runs on one machine: on a cluster it is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/keyvigil-stored"
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    kind = spark._jvm.org.apache.hadoop.fs.Path(warehouse).getFileSystem(spark._jsc.hadoopConfiguration()).getScheme()
+    if kind == "file" and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share; the warehouse is on a local disk")
+    return f"{warehouse}/keyvigil-stored"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from keyvigil.functions import rates
 from keyvigil.operators import policy, rules, sessions
 from keyvigil.session import new_folder
 
+# Event time of the stream as Spark's watermarks need it.
+MOMENT = "_moment"
 # The map side merges a session's rows before the shuffle, so a very busy session travels as one state per task.
 LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
@@ -23,6 +27,21 @@ def request_stream(spark: SparkSession, folder: str, schema: T.StructType, files
     return reader.parquet(folder)
 
 
+def without_repeats(stream: DataFrame, lateness: str = "1 hour", by: Sequence[str] = ("seed",), event: str = "event_id") -> DataFrame:
+    """Each event once, however often it is delivered.
+
+    The state holds the ids of the last `lateness` only: a repetition within it is recognised, and one that comes after it is
+    older than the watermark and dropped as late. `late_rows` counts what was dropped.
+    """
+    timed = stream.withColumn(MOMENT, F.col("timestamp").cast("timestamp")).withWatermark(MOMENT, lateness)
+    return timed.dropDuplicatesWithinWatermark([*by, event])
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that stateful steps of a query have left out because they were older than the watermark."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in json.loads(p.json)["stateOperators"])
+
+
 def streaming_decisions(
     stream: DataFrame, keys: DataFrame, grants: DataFrame, by: Sequence[str] = (), key_by: Sequence[str] | None = None
 ) -> DataFrame:
@@ -42,11 +61,12 @@ def streaming_sessions(
     """
     keys = F.size(F.collect_set("key_id")) if key_error is None else F.approx_count_distinct("key_id", key_error)
     log.sparkSession.conf.set(LOCAL_MERGE, "true")
-    timed = log.withColumn("_moment", F.col("timestamp").cast("timestamp"))
+    timed = log
+    if MOMENT not in log.columns:  # else `without_repeats` has set the watermark
+        timed = log.withColumn(MOMENT, F.col("timestamp").cast("timestamp")).withWatermark(MOMENT, lateness)
     opening = F.min(F.struct("timestamp", "event_id", "operator_id", "source_ip"))
     grouped = (
-        timed.withWatermark("_moment", lateness)
-        .groupBy(F.session_window("_moment", gap), *by, "session_id")
+        timed.groupBy(F.session_window(MOMENT, gap), *by, "session_id")
         .agg(
             opening.alias("_opening"),
             F.max("timestamp").alias("closed_at"),
@@ -101,10 +121,13 @@ def stage(requests: DataFrame, name: str, closing: bool = True) -> str:
     return folder
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Everything that has arrived, through to a Parquet sink with its own checkpoint, read back as a table."""
+def run_available(stream: DataFrame, name: str, folders: tuple[str, str] | None = None, finished: list | None = None) -> DataFrame:
+    """Everything that has arrived, through to a Parquet sink with its own checkpoint, read back as a table.
+
+    `folders` (sink, checkpoint) of an earlier run continue it; `finished` receives the query, for its progress.
+    """
     spark = stream.sparkSession
-    sink, progress = new_folder(spark, f"{name}-out"), new_folder(spark, f"{name}-progress")
+    sink, progress = folders or (new_folder(spark, f"{name}-out"), new_folder(spark, f"{name}-progress"))
     started = (
         stream.writeStream.format("parquet")
         .option("checkpointLocation", progress)
@@ -113,4 +136,6 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
         .start(sink)
     )
     started.awaitTermination()
+    if finished is not None:
+        finished.append(started)
     return spark.read.schema(stream.schema).parquet(sink)

@@ -65,6 +65,32 @@ def test_sessions_equal_batch(spark, requests, repository, files):
     assert sorted(found.select(batch.columns).collect()) == sorted(batch.collect())
 
 
+def test_redelivered_batches_change_nothing_and_late_rows_are_counted(spark, requests, repository):
+    """Three runs on one checkpoint: a batch, the same batch again with the next one, then rows far behind the watermark."""
+    early = requests.where("timestamp < timestamp_ntz'2024-01-09 00:00:00'")
+    rest = requests.where("timestamp >= timestamp_ntz'2024-01-09 00:00:00'")
+    folder = new_folder(spark, "arrivals")
+    folders = new_folder(spark, "out"), new_folder(spark, "progress")
+    found, counts = None, []
+    for part in (early, rest.unionByName(rest), early.limit(7)):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        stream = jobs.without_repeats(jobs.request_stream(spark, folder, requests.schema))
+        queries: list = []
+        decided = jobs.streaming_decisions(stream, *repository).select("event_id", "outcome")
+        found = jobs.run_available(decided, "again", folders, queries)
+        counts.append(jobs.late_rows(queries[0]))
+    assert sorted(found.collect()) == sorted(policy.outcomes(requests, *repository).collect())
+    assert counts == [0, 0, 7]
+
+
+def test_sessions_of_redelivered_requests(spark, requests, repository):
+    folder = jobs.stage(requests.unionByName(requests), "twice")
+    stream = jobs.without_repeats(jobs.request_stream(spark, folder, requests.schema))
+    found = jobs.run_available(jobs.streaming_sessions(jobs.streaming_decisions(stream, *repository), gap="1 day"), "twice")
+    batch = sessions.with_rates(sessions.per_session(policy.decided(requests, *repository)))
+    assert sorted(found.select(batch.columns).collect()) == sorted(batch.collect())
+
+
 def test_sessions_with_a_sketch_of_their_keys(spark, requests, repository):
     stream = jobs.request_stream(spark, _in_time_order(requests, 1), requests.schema)
     live = jobs.streaming_sessions(jobs.streaming_decisions(stream, *repository), gap="1 day", key_error=0.01)
