@@ -12,13 +12,13 @@ bucket is decided, but no bucket emits its pairs:
 1. Star. Each node of a bucket is compared with the bucket's hub, the node that shares most buckets with others. Components of
    these links settle buckets of copies at once.
 2. Rest. In a bucket that still holds several components, the nodes outside its largest one are compared with all its
-   nodes, chunk against chunk inside tasks, likeliest pairs first and only as long as the two are not connected yet.
-   Only links leave a task.
+   nodes, chunk against chunk inside tasks. Common shingles of all pairs of two chunks are one matrix product, so their
+   plain similarity is exact for every pair; only links between components leave a task.
 
-A comparison first counts the registers that agree, of either signature; where fewer than `SCREEN` do (five standard
-deviations below `SIMILARITY`), it is no link. All others are verified exactly: a pair is a link if the probability Jaccard
-similarity or the plain Jaccard similarity of its shingles is at least `SIMILARITY`. Links are joined to components on
-DataFrames.
+A pair is a link if the probability Jaccard similarity or the plain Jaccard similarity of its shingles is at least
+`SIMILARITY`. Before a pair is verified by itself (with the hub, and in chunks where shingles repeat), the registers that
+agree are counted, of either signature; where fewer than `SCREEN` do (five standard deviations below `SIMILARITY`), it is no
+link. Links are joined to components on DataFrames.
 
 Cases: a null or empty text, or one of white space, is a class of its own; a null id counts as the smallest id; repeated
 rows are copies; an empty table gives no rows; other columns are not read.
@@ -41,7 +41,8 @@ from keyvigil.session import written
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5  # a pair of similarity 0.8 shares a band with probability 0.9999
-CHUNK = 128
+CHUNK, CHUNK_BYTES = 128, 2 << 20  # nodes and bytes that a chunk holds on average
+COLUMNS = 4096
 BATCH_BYTES = 16 << 20
 SCREEN = 0.62
 SECOND_BASE = 0xD6E8FEB86659FD93
@@ -221,14 +222,72 @@ def star_links(members: DataFrame, packed: DataFrame, similarity: float) -> Data
     return both.mapInArrow(_linked(similarity), "a long, b long")
 
 
+def _chunk(rows: pa.StructArray) -> tuple:
+    """Nodes, roots, shingles of all nodes in one array, the row of each shingle, weights and sketches of a chunk."""
+    shingles = rows.field("shingles").to_pylist()
+    row = np.repeat(np.arange(len(rows)), [len(x) // 4 for x in shingles])
+    return (
+        rows.field("node").to_numpy(), rows.field("root").to_numpy(), shingles, np.frombuffer(b"".join(shingles), "<u4"), row,
+        rows.field("weights").to_pylist(), rows.field("sketch").to_pylist(),
+    )
+
+
+def _common(left: np.ndarray, left_row: np.ndarray, n: int, right: np.ndarray, right_row: np.ndarray, m: int) -> np.ndarray:
+    """How many shingles every left node shares with every right one: a product of 0/1 matrices over the shingles that both
+    sides hold, `COLUMNS` of them at a time."""
+    shared = np.intersect1d(left, right)
+    counts = np.zeros((n, m), np.float32 if len(shared) < 1 << 24 else np.float64)
+    if len(shared):
+        sides = []
+        for values, row in ((left, left_row), (right, right_row)):
+            place = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+            held = shared[place] == values
+            order = np.argsort(place[held], kind="stable")
+            sides.append((place[held][order], row[held][order]))
+        for first in range(0, len(shared), COLUMNS):
+            ones = []
+            for (place, row), size in zip(sides, (n, m)):
+                of = slice(*np.searchsorted(place, [first, first + COLUMNS]))
+                matrix = np.zeros((size, min(COLUMNS, len(shared) - first)), np.float32)
+                matrix[row[of], place[of] - first] = 1
+                ones.append(matrix)
+            counts += ones[0] @ ones[1].T
+    return counts.astype(np.int64)
+
+
+def similarities_to(
+    a: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, row: np.ndarray, m: int
+) -> np.ndarray:
+    """Probability Jaccard similarity of one weighted set to each of m others, given in one array with the row of each element."""
+    place = np.minimum(np.searchsorted(a, others), len(a) - 1)
+    held = a[place] == others
+    total = np.bincount(row, y, m)
+    x, y, row, all_x = x[place[held]].astype(float), y[held].astype(float), row[held], x.sum()
+    order = np.lexsort((-x / y, row))
+    x, y, row = x[order], y[order], row[order]
+    common_x, common_y = np.bincount(row, x, m), np.bincount(row, y, m)
+    start = np.cumsum(np.bincount(row, minlength=m)) - np.bincount(row, minlength=m)
+    before_x, before_y = (np.concatenate((np.zeros(1), np.cumsum(v))) for v in (x, y))
+    left = before_x[:-1] - before_x[start[row]]
+    right = common_y[row] - (before_y[:-1] - before_y[start[row]])
+    own_x, own_y = (all_x - common_x)[row], (total - common_y)[row]
+    return np.bincount(row, 1 / ((own_x + left) / x + (own_y + right) / y), m)
+
+
 def _chunk_links(similarity: float):
     """Links between the nodes of two chunks that are in different components, until these are connected."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):  # one pair of chunks at a time, so that no more are held as objects
-                outside, every = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                sketches = [_sketches([x["sketch"] for x in side]) for side in (outside, every)]
+            for row in range(batch.num_rows):  # one pair of chunks at a time
+                (ones, one_roots, one_sets, left, left_row, one_weights, one_sketches), (
+                    others, other_roots, other_sets, right, right_row, other_weights, other_sketches
+                ) = (_chunk(batch.column(k)[row].values) for k in (0, 1))
+                n, m = len(ones), len(others)
+                common = _common(left, left_row, n, right, right_row, m)
+                sizes = np.bincount(left_row, minlength=n)[:, None] + np.bincount(right_row, minlength=m)[None, :]
+                apart = one_roots[:, None] != other_roots[None, :]
+                close = apart & (common / (sizes - common) >= similarity)
                 parent: dict[int, int] = {}
 
                 def root(node: int) -> int:
@@ -237,17 +296,33 @@ def _chunk_links(similarity: float):
                     return node
 
                 found = []
-                for one, sketch in zip(outside, sketches[0]):
-                    likeness = _agreement(sketch[None, :], sketches[1])
-                    near = np.flatnonzero(likeness >= SCREEN)
-                    for k in near[np.argsort(-likeness[near], kind="stable")]:
-                        other = every[k]
-                        a, b = root(one["root"]), root(other["root"])
-                        if a != b and max(similarities(
-                            *_weighted(one["shingles"], one["weights"]), *_weighted(other["shingles"], other["weights"])
-                        )) >= similarity:
-                            parent[a] = b
-                            found.append((one["node"], other["node"]))
+
+                def joined(i: int, k: int, verified: bool) -> None:
+                    a, b = root(int(one_roots[i])), root(int(other_roots[k]))
+                    if a != b and (verified or max(similarities(
+                        *_weighted(one_sets[i], one_weights[i]), *_weighted(other_sets[k], other_weights[k])
+                    )) >= similarity):
+                        parent[a] = b
+                        found.append((int(ones[i]), int(others[k])))
+
+                for i, k in np.argwhere(close).tolist():
+                    joined(i, k, True)
+                # Where shingles repeat, the weighted similarity may link what the plain one does not.
+                heavy = [np.array([w is not None for w in side]) for side in (one_weights, other_weights)]
+                if heavy[0].any() or heavy[1].any():
+                    sketches = [_sketches(side) for side in (one_sketches, other_sketches)]
+                    right_weights = np.concatenate([_weighted(*side)[1] for side in zip(other_sets, other_weights)])
+                    for i in np.flatnonzero(apart.any(axis=1)).tolist():
+                        ask = apart[i] & ~close[i] & (heavy[0][i] | heavy[1])
+                        ask[ask] = _agreement(sketches[0][i][None], sketches[1][ask]) >= SCREEN
+                        if ask.any():
+                            own = ask[right_row]
+                            exact = similarities_to(
+                                *_weighted(one_sets[i], one_weights[i]), right[own], right_weights[own], right_row[own], m
+                            )
+                            # Sums in another order may differ in the last digits: the plain function has the last word.
+                            for k in np.flatnonzero(ask & (exact >= similarity - 1e-9)).tolist():
+                                joined(i, k, False)
                 if found:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"]
@@ -259,22 +334,27 @@ def _chunk_links(similarity: float):
 def rest_links(members: DataFrame, roots: DataFrame, packed: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that join components inside the buckets that still hold several."""
     rooted = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    rooted = rooted.join(packed.select("node", "size"), "node")
+    parts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     open_ = parts.groupBy("bucket").agg(
-        F.count("*").alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most"),
-        F.max(F.struct("n", "root")).alias("largest"),
-    ).where("parts > 1").select("bucket", "all", (F.col("all") - F.col("most")).alias("outside"), F.col("largest.root").alias("main"))
-    unsettled = written(rooted.join(open_, "bucket"), "open-buckets").join(packed, "node")
+        F.count("*").alias("parts"), F.sum("n").alias("all"), F.sum("size").alias("bytes"),
+        F.max(F.struct("n", "root", "size")).alias("largest"),
+    ).where("parts > 1").select(
+        "bucket", "all", "bytes", (F.col("all") - F.col("largest.n")).alias("outside"),
+        (F.col("bytes") - F.col("largest.size")).alias("outside_bytes"), F.col("largest.root").alias("main"),
+    )
+    unsettled = written(rooted.drop("size").join(open_, "bucket"), "open-buckets").join(packed, "node")
     # Rows of two chunks are large: fewer of them at a time in a task.
     members.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     entry = F.struct("node", "root", "sketch", "shingles", "weights")
 
-    def chunks(rows: DataFrame, size: Column, name: str) -> DataFrame:
-        number = F.pmod(F.xxhash64("node"), F.ceil(size / F.lit(CHUNK)).cast("long"))
+    def chunks(rows: DataFrame, size: Column, held: Column, name: str) -> DataFrame:
+        wanted = F.greatest(F.ceil(size / F.lit(CHUNK)), F.ceil(held / F.lit(CHUNK_BYTES)), F.lit(1)).cast("long")
+        number = F.pmod(F.xxhash64("node"), wanted)
         return rows.groupBy("bucket", number.alias("chunk")).agg(F.collect_list(entry).alias(name)).drop("chunk")
 
-    outside = chunks(unsettled.where("root <> main"), F.col("outside"), "outside_nodes")
-    every = chunks(unsettled, F.col("all"), "nodes")
+    outside = chunks(unsettled.where("root <> main"), F.col("outside"), F.col("outside_bytes"), "outside_nodes")
+    every = chunks(unsettled, F.col("all"), F.col("bytes"), "nodes")
     return outside.join(every, "bucket").select("outside_nodes", "nodes").mapInArrow(_chunk_links(similarity), "a long, b long")
 
 
@@ -289,7 +369,9 @@ def links(nodes: DataFrame, packed_of, similarity: float = SIMILARITY) -> DataFr
     best = ranked.groupBy("bucket").agg(F.max("degree").alias("degree"))
     hubs = ranked.join(best, ["bucket", "degree"]).groupBy("bucket").agg(F.min("node").alias("hub"))
     members = written(shared.join(hubs, "bucket").drop("n"), "band-hubs")
-    packed = written(packed_of(degrees.select("node")).join(nodes.select("node", "sketch"), "node"), "packed-shingles")
+    size = F.octet_length("shingles") + F.coalesce(F.octet_length("weights"), F.lit(0)) + F.octet_length("sketch")
+    packed = packed_of(degrees.select("node")).join(nodes.select("node", "sketch"), "node").withColumn("size", size.cast("long"))
+    packed = written(packed, "packed-shingles")
     star = written(star_links(members, packed, similarity), "star-links")
     roots = components(star)
     rest = written(rest_links(members, roots, packed, similarity), "rest-links")

@@ -151,3 +151,22 @@ def test_near_copies_with_null_or_repeated_ids_leave_one(spark):
     rows = [(5, near(10)), (5, near(50)), (5, near(90)), (9, near(30))]
     found = near_dedup.near_duplicates(edges.frame(spark, rows)).collect()
     assert sorted((r["doc_id"], r["stays"]) for r in found) == [(5, False), (5, False), (5, True), (9, False)]
+
+
+def test_chunks_are_compared_exactly(monkeypatch):
+    """Common shingles by matrix products (also over several blocks of columns) and one set against many, pair by pair."""
+    monkeypatch.setattr(near_dedup, "COLUMNS", 7)
+    rng = np.random.default_rng(5)
+    sides = []
+    for size in (9, 13):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype("<u4") for _ in range(size)]
+        weights = [rng.integers(1, 4, len(s)) if k % 2 else np.ones(len(s), np.int64) for k, s in enumerate(sets)]
+        sides.append((sets, weights, np.concatenate(sets), np.repeat(np.arange(size), [len(s) for s in sets])))
+    (ones, one_weights, left, left_row), (others, other_weights, right, right_row) = sides
+    common = near_dedup._common(left, left_row, len(ones), right, right_row, len(others))
+    assert common.tolist() == [[len(set(a) & set(b)) for b in others] for a in ones]
+    assert near_dedup._common(left, left_row, len(ones), right + 100, right_row, len(others)).sum() == 0
+    for a, x in zip(ones, one_weights):
+        found = near_dedup.similarities_to(a, x, right, np.concatenate(other_weights), right_row, len(others))
+        expected = [near_dedup.similarities(a, x, b, y)[0] for b, y in zip(others, other_weights)]
+        assert np.allclose(found, expected, rtol=0, atol=1e-12)
