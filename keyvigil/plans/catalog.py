@@ -128,6 +128,22 @@ def a2_run(c: Context) -> DataFrame:
     return tables.of_run(read, 3, 0.5).select("session_id", "mechanism", "predicted")
 
 
+@query("a4_runs_written_again")
+def a4(c: Context) -> DataFrame:
+    """The stored grid after one run was first written with inverted alerts and then again as it should be."""
+    root = new_folder(c.spark, "grid")
+    wrong = (F.col("seed") == 3) & (F.col("sigma") == 0.5)
+    kind = c.predictions.schema["predicted"].dataType
+    spoilt = F.when(wrong, (1 - F.col("predicted").cast("int")).cast(kind)).otherwise(F.col("predicted"))
+    tables.write_runs(c.predictions.withColumn("predicted", spoilt), root, "predictions")
+    path = tables.write_runs(c.predictions.where(wrong), root, "predictions")
+    read = c.spark.read.schema(c.predictions.schema).parquet(path)
+    counted = read.groupBy("seed", "sigma", "mechanism").agg(
+        F.count("*").alias("sessions"), F.sum("predicted").cast("bigint").alias("alerts")
+    )
+    return counted.join(tables.committed_runs(c.spark, root, "predictions"), list(tables.GRID), "left")
+
+
 @query("a5_runs_index")
 def a5(c: Context) -> DataFrame:
     owners = (

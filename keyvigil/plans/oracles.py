@@ -484,6 +484,9 @@ _LOGFACT = "lgamma({0} + 1.0E0)"
 BODIES: dict[str, str] = {
     "a2_runs_of_grid": """SELECT seed, sigma, mechanism, count(*) AS sessions, CAST(sum(predicted) AS BIGINT) AS alerts
         FROM a_predictions GROUP BY seed, sigma, mechanism""",
+    "a4_runs_written_again": """SELECT seed, sigma, mechanism, count(*) AS sessions, CAST(sum(predicted) AS BIGINT) AS alerts,
+        CAST(CASE WHEN seed = 3 AND sigma = 0.5 THEN 2 ELSE 1 END AS BIGINT) AS attempt
+        FROM a_predictions GROUP BY seed, sigma, mechanism""",
     "a1_operators_both_layouts": """SELECT l.layout, o.operator_id, o.profile, o.regime, a.usual_ips, g.scopes
         FROM a_operators o
         JOIN (SELECT operator_id, string_agg(source_ip, '|' ORDER BY position) AS usual_ips FROM a_addresses GROUP BY 1) a

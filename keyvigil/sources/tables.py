@@ -76,8 +76,12 @@ def write_table(
     layout: str = "parquet",
     partitioned_by: Sequence[str] = (),
     mode: str = "errorifexists",
+    only_own: bool = False,
 ) -> str:
-    """Header and LF in CSV, arrays as one multi-value cell; the folder is created."""
+    """Header and LF in CSV, arrays as one multi-value cell; the folder is created.
+
+    With `mode="overwrite"` and `only_own`, only the partitions that the frame has rows of are replaced.
+    """
     path = table_path(root, name, layout)
     if layout == "csv":
         cells = [
@@ -93,6 +97,8 @@ def write_table(
     writer = frame.write.mode(mode)
     if partitioned_by:
         writer = writer.partitionBy(*partitioned_by)
+    if only_own:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     if layout == "csv":
         writer.options(**CSV_OPTIONS).csv(path, lineSep="\n")
     else:
@@ -100,6 +106,49 @@ def write_table(
     return path
 
 
+def _commits(root: str, name: str) -> str:
+    return f"{root.rstrip('/')}/{name}.commits"
+
+
+def committed_runs(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Runs of a table whose last writing attempt ended, with the number of that attempt. One row per run of the grid."""
+    if not _exists(spark, _commits(root, name)):
+        return spark.createDataFrame([], "seed int, sigma double, attempt bigint")
+    log = spark.read.schema("seed int, sigma double, attempt bigint, done boolean").parquet(_commits(root, name))
+    # Of one attempt, the row of its end is the larger one.
+    last = log.groupBy(*GRID).agg(F.max(F.struct("attempt", "done")).alias("_last"))
+    return last.where("_last.done").select(*GRID, F.col("_last.attempt").alias("attempt"))
+
+
+def write_runs(frame: DataFrame, root: str, name: str, layout: str = "parquet") -> str:
+    """Write, or write again, the runs that the frame has rows of. All other runs stay as they are.
+
+    The runs are noted in a commit list before and after, so a run whose job was killed half way is not in
+    `committed_runs`, `uncommitted_runs` names it, and writing it once more replaces what it left behind. One writer at a time.
+    """
+    spark = frame.sparkSession
+    path = _commits(root, name)
+    runs = frame.select(*[F.col(key).cast(GRID_TYPES[key]).alias(key) for key in GRID]).distinct().collect()  # the grid
+    if not runs:
+        return table_path(root, name, layout)
+    before = spark.read.parquet(path).agg(F.max("attempt")).first()[0] if _exists(spark, path) else 0
+
+    def note(done: bool) -> None:
+        rows = [(run["seed"], run["sigma"], before + 1, done) for run in runs]
+        listed = spark.createDataFrame(rows, "seed int, sigma double, attempt bigint, done boolean")
+        listed.coalesce(1).write.mode("append").parquet(path)
+
+    note(False)
+    target = write_table(frame, root, name, layout, GRID, "overwrite", only_own=True)
+    note(True)
+    return target
+
+
+def uncommitted_runs(spark: SparkSession, root: str, name: str, seeds: Sequence[int], sigmas: Sequence[float]) -> DataFrame:
+    """Expected runs that were never written or whose last attempt did not end."""
+    return missing_runs(committed_runs(spark, root, name), seeds, sigmas)
+
+
 def read_text_table(spark: SparkSession, path: str) -> DataFrame:
     """A CSV table whose cells all stay text: "None" and "2" are read as written, nothing is guessed."""
     return spark.read.options(**CSV_OPTIONS).csv(path)

@@ -48,6 +48,32 @@ def test_one_run_reads_one_folder(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(seed" in plan and "(sigma" in plan
 
 
+def test_a_run_killed_half_way_is_missing_and_written_again(spark, tmp_path, monkeypatch):
+    root, schema = str(tmp_path), "n bigint, seed int, sigma double"
+    assert tables.uncommitted_runs(spark, root, "counts", [1], [0.0, 0.5]).count() == 2
+    rows = spark.createDataFrame([(n, seed, sigma) for n in (1, 2) for seed in (1, 2) for sigma in (0.0, 0.5)], schema)
+    path = tables.write_runs(rows, root, "counts")
+    assert tables.uncommitted_runs(spark, root, "counts", [1, 2], [0.0, 0.5]).count() == 0
+
+    def killed(*args, **kwargs):
+        raise RuntimeError("lost")
+
+    again = spark.createDataFrame([(7, 2, 0.5)], schema)
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, "write_table", killed)
+        with pytest.raises(RuntimeError, match="lost"):
+            tables.write_runs(again, root, "counts")
+    assert [tuple(r) for r in tables.uncommitted_runs(spark, root, "counts", [1, 2], [0.0, 0.5]).collect()] == [(2, 0.5)]
+    tables.write_runs(again, root, "counts")
+    assert tables.uncommitted_runs(spark, root, "counts", [1, 2], [0.0, 0.5]).count() == 0
+    assert {tuple(r) for r in tables.committed_runs(spark, root, "counts").collect()} == {
+        (1, 0.0, 1), (1, 0.5, 1), (2, 0.0, 1), (2, 0.5, 3)
+    }
+    read = spark.read.schema(schema).parquet(path)
+    left = sorted(tuple(r) for r in rows.where("seed <> 2 or sigma <> 0.5").collect())
+    assert sorted(tuple(r) for r in read.collect()) == sorted([*left, (7, 2, 0.5)])
+
+
 def test_missing_runs(spark):
     present = spark.createDataFrame([(1, 0.0), (1, 0.5), (2, 0.0)], "seed bigint, sigma double")
     assert [tuple(row) for row in tables.missing_runs(present, [1, 2], [0.0, 0.5]).collect()] == [(2, 0.5)]
