@@ -16,7 +16,7 @@ SAMPLE = (
     "a8_missing_runs", "b7_filter_expression", "c2_outcomes", "c9_keys_out_of_reach", "d3_sessions", "d5_profiles",
     "d7_thresholds", "d13_metrics", "d26_threshold_histogram", "d31_sessions_per_day", "e3_holdout", "e6_injected_sessions",
     "e9_roc_curve", "e10_stump", "e13_sample_quotas", "g4_gaps_expected", "h3_rule_alerts", "h12_rule_importance",
-    "h14_comparison", "s3_streaming_alerts", "a1_operators_both_layouts", "a2_one_run", "b4_columns", "b5_guards",
+    "h14_comparison", "s3_streaming_alerts", "a1_operators_both_layouts", "a2_one_run", "a4_runs_written_again", "b4_columns", "b5_guards",
     "c1_audit_log", "c3_unknown_operators", "c9_scopes_out_of_reach", "d28_business_day_counts", "d32_operation_mix", "e3_grid_holdout",
     "e11_signed_rank", "f5_operators_of_both_phases", "f6_keys_not_evaluated", "g4_daily_counts_expected", "g5_address_usage",
     "g5_unseen_addresses", "h1_cells_add_up", "h3_grid_alerts", "d33_regime_overview", "d42_request_period",
