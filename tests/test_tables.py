@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
+from keyvigil import session
 from keyvigil.schemas import OPERATORS, THRESHOLDS, WARMUP_SESSIONS
 from keyvigil.sources import tables
 
@@ -94,3 +95,18 @@ def test_wrong_filter_is_a_warning(spark):
         kept, warning = tables.filtered(table, "o1", wrong)
         assert kept.count() == 2 and "invalid expression" in warning
     assert tuple(tables.kept_share(table, "events > 2").first()) == (2, 3, 2 / 3)
+
+
+def test_a_larger_table_begins_with_more_partitions(spark, monkeypatch, tmp_path):
+    """A task's share of a shuffle is bounded by its bytes, not by a number of partitions that ignores the input."""
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
+    spark.range(20_000).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    few = session.sized_for(spark, table)
+    monkeypatch.setattr(session, "BYTES_A_PARTITION", 1000)
+    many = session.sized_for(spark, table)
+    assert few == int(spark.conf.get("spark.sql.shuffle.partitions")) < many
+    counted = table.groupBy((table.id % 7).alias("k")).count()
+    assert f", {many})" in counted._jdf.queryExecution().executedPlan().toString() and counted.count() == 7
+    monkeypatch.undo()
+    session.sized_for(spark, table)
