@@ -16,12 +16,16 @@ pieces are carried along; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
+import struct
 from bisect import bisect_left, bisect_right, insort
+from codecs import charmap_decode
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,11 +73,32 @@ _CUT[_DIGIT, [_DIGIT, _OTHER, _SPACE]] = _CUT[[_OTHER, _SPACE], _DIGIT] = True
 _CUT[_SPACE, [0, _OTHER]] = _CUT[[0, _OTHER], _SPACE] = True
 
 
+# The same as tables for `bytes.translate`.
+_KIND_OF, _LOWER_OF, _CUT_OF = _KIND.tobytes(), _LOWER.tobytes(), _CUT.tobytes().ljust(256, b"\0")
+
+# One word for the tokenizer, whatever stands beside it: lower-case letters or signs, and letters of Latin-1 and Latin Extended A and B
+# (but U+0130, which becomes two characters in lower case).
 _PLAIN = re.compile(rb"[a-z]+|[!-&(-/:-@\[-`{-~]+")
+_LATIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+# What the tokenizer does to a text before it merges, where single words may skip it.
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"},
+]}
+_SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+# Byte-level vocabularies write a byte as a character: printable ones as themselves, the others from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OTHERS = sorted({*range(256)} - _PRINTED)
+_CHARACTERS = "".join(chr(byte if byte in _PRINTED else 256 + _OTHERS.index(byte)) for byte in range(256))
 
 
 class _Words:
-    """Ids of single words, as little-endian 32-bit values. The tokenizer never merges across the cuts above."""
+    """Ids of single words, as little-endian 32-bit values. The tokenizer never merges across the cuts above.
+
+    Words that normalizing and splitting leave whole go straight to the vocabulary's merges; all others through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -81,42 +106,51 @@ class _Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-        # A lone digit is an id of its own: between words of letters or of signs it marks where the next one begins.
-        (self.mark,) = self.whole("0")
+        self.merged = self.tokenizer.model.tokenize
+        steps = [x and json.loads(x.__getstate__()) for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        self.direct = steps == [_NORMALIZER, _SPLITTER]
         self.special = [x.content.encode().lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def one(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not self.direct:
+            own = None
+        elif _PLAIN.fullmatch(word):
+            own = text
+        elif _LATIN.fullmatch(text):
+            own = charmap_decode(text.lower().encode(), "strict", _CHARACTERS)[0]
+        else:
+            own = None
+        ids = self.whole(text) if own is None else [token.id for token in self.merged(own)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def ids(self, words: list[bytes]) -> list[bytes]:
         known = self.known
         if len(known) > WORDS_KEPT:
             known.clear()
         found = list(map(known.get, words))
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            # Words without a byte that may be read as a digit share one call; all others are read each by itself.
-            together = [i for i in missing if _PLAIN.fullmatch(words[i])]
-            plain = set(together)
-            apart = [i for i in missing if i not in plain]
-            for i, own in zip(apart, self.tokenizer.encode_batch_fast([words[i].decode() for i in apart], add_special_tokens=False)):
-                found[i] = known[words[i]] = np.array(own.ids, "<u4").tobytes()
-            all_ids = np.array(self.whole((b" 0 ".join([words[i] for i in together]) + b" 0").decode()), "<u4")
-            ends = np.flatnonzero(all_ids == self.mark)
-            flat, begin = all_ids.tobytes(), 0
-            for i, end in zip(together, ends[: len(together)].tolist()):
-                found[i] = known[words[i]] = flat[4 * begin : 4 * end]
-                begin = end + 1
+        for i, own in enumerate(found):
+            if own is None:
+                found[i] = known[words[i]] = self.one(words[i])
         return found
 
 
+@lru_cache(1)
+def _words(path: str) -> _Words:
+    """A Python worker reads the vocabulary once, and keeps the words that it knows from one task to the next."""
+    return _Words(path)
+
+
 def _tokenised(texts: list[bytes], words: _Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids in one array, the end id after each text, and the place where each text begins."""
     data, starts = joined_bytes(texts)
-    data = _LOWER[data]
-    kind = _KIND[data]
+    lowered = data.tobytes().translate(_LOWER_OF)
+    data, kind = np.frombuffer(lowered, np.uint8), np.frombuffer(lowered.translate(_KIND_OF), np.uint8)
     begins = np.ones(len(data), bool)
-    begins[1:] = _CUT[kind[:-1], kind[1:]]
+    begins[1:] = np.frombuffer((kind[:-1] * np.uint8(len(_CUT)) + kind[1:]).tobytes().translate(_CUT_OF), bool)
     solid = kind != _SPACE
     begins &= solid
     offsets = np.append(np.cumsum(solid)[begins] - 1, solid.sum()).astype(np.int32)
@@ -133,7 +167,6 @@ def _tokenised(texts: list[bytes], words: _Words, end_id: int) -> tuple[np.ndarr
     ids = flat[np.repeat(places[index] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
     last = before + np.arange(len(texts))  # where each end id stands among the words
     bounds = np.concatenate(([0], ends[last])).astype(np.int64)
-    lowered = data.tobytes()
     if any(x in lowered for x in words.special):
         return _with_special(texts, words, end_id, ids, bounds)
     return ids, bounds
@@ -160,7 +193,7 @@ def pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        words = _Words(tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer))
+        words = _words(tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer))
         for whole in batches:
             column = pc.fill_null(whole.column(1), "").cast(pa.binary())
             for first, last in sub_blocks(pc.binary_length(column).to_numpy(zero_copy_only=False), BLOCK_BYTES):

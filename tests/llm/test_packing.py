@@ -140,3 +140,21 @@ def test_best_fit_packs_everything_close_to_the_bound():
     assert back == counts
     total = sum(s * n for s, n in counts.items())
     assert sum(n for _, n in groups) <= -(-total // 4096) + 3
+
+
+def test_single_words_skip_what_leaves_them_whole(monkeypatch):
+    """Lower-case and Latin words and signs go straight to the merges, with the tokenizer's ids; all others pass all of it."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = packing._words(path)
+    assert packing._words(path) is words and words.direct
+    letters = "".join(map(chr, [*range(33, 127), *range(0xC0, 0x250)]))
+    texts = [a + b for a in ("", "x", "é", "<") for b in letters] + ["Ünîcödé ŒUVRE ſtraße ǅ", "don't İx é 中文 ²٣ ﬁ ­"]
+    ids, bounds = packing._tokenised([t.encode() for t in texts], words, 1)
+    encoded = words.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [[*e.ids, 1] for e in encoded]
+    fresh, passed = packing._Words(path), []
+    monkeypatch.setattr(fresh, "whole", lambda text: passed.append(text) or words.whole(text))
+    packing._tokenised("plain words, größe (und) Œuvre; 中文 isn't".encode().split(b"\n"), fresh, 1)
+    assert sorted(passed) == sorted(["isn't", "中文"])
+    fresh.direct, fresh.known = False, {}
+    assert fresh.ids([b"plain", "größe".encode()]) == words.ids([b"plain", "größe".encode()]) and passed[2:] == ["plain", "größe"]
